@@ -1,0 +1,44 @@
+"""Connected components of an edge table, by alternating large and small stars.
+
+Each round replaces edges by edges to smaller ids and is a constant number of aggregations and joins; all of them
+combine before the shuffle or join one row for each key, so a vertex with very many edges stays spread (AQE splits it).
+Rounds end in a table in the shared folder. At the end every vertex points at the smallest id it can reach.
+Self-loops and rows with a null end are ignored; an empty table gives an empty result; repeated edges don't matter.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ridgeway.session import forget, written
+
+
+def _print(edges: DataFrame) -> tuple:
+    """Count and order-free digest of a table of distinct edges."""
+    row = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first()
+    return tuple(row)
+
+
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(id, component) for every vertex that has an edge; component is the smallest id reachable."""
+    e = edges.select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).filter(
+        F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col("hi") > F.col("lo"))
+    )
+    e = written(e.distinct(), "edges")
+    was = _print(e)
+    while was[0]:
+        near = e.select("hi", "lo").union(e.select(F.col("lo").alias("hi"), F.col("hi").alias("lo")))
+        least = near.groupBy(F.col("hi").alias("u")).agg(F.least(F.first("hi"), F.min("lo")).alias("m"))
+        large = e.join(least, e["lo"] == least["u"]).select("hi", F.col("m").alias("lo")).distinct()
+        own = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        small = large.join(own, "hi").filter(F.col("lo") != F.col("m")).select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        new = written(own.select("hi", F.col("m").alias("lo")).union(small).distinct(), "edges")
+        now = _print(new)
+        forget(e)
+        e = new
+        if now == was:
+            break
+        was = now
+    inner = e.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
+    return inner.union(e.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct())

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridgeway.llm import bpe, classifier, exact_dedup, secrets
+from ridgeway.llm import bpe, classifier, exact_dedup, near_dedup, secrets
 from ridgeway.llm.common import table
 
 
@@ -32,8 +32,12 @@ def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup, "op9_near_dedup": op9_near_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
