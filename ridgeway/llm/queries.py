@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeway.llm import bpe, classifier, exact_dedup, licenses, near_dedup, packing, secrets, token_files, topk
+from ridgeway.llm import bpe, classifier, exact_dedup, licenses, line_dedup, near_dedup, packing, secrets, token_files, topk
 from ridgeway.llm.common import table
 from ridgeway.session import fresh_path
 
@@ -56,8 +56,13 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_groups(table(spark, sf_dir, "documents"))
 
 
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    return report.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_top_k": op3_top_k, "op4_licenses": op4_licenses, "op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup, "op9_near_dedup": op9_near_dedup}
+    return {"op1_secrets": op1_secrets, "op2_bpe": op2_bpe, "op3_top_k": op3_top_k, "op4_licenses": op4_licenses, "op5_packing": op5_packing, "op6_token_counts": op6_token_counts, "op7_quality": op7_quality, "op8_exact_dedup": op8_exact_dedup, "op9_near_dedup": op9_near_dedup, "op10_line_dedup": op10_line_dedup}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -274,3 +274,11 @@ def span_digest(df: DataFrame) -> DataFrame:
         F.size(F.filter("spans", lambda s: s["structure"] != "")).cast("long").alias("n_structural"),
         F.array_join(F.array_sort(F.array_distinct(F.filter(F.transform("spans", lambda s: s["structure"]), lambda x: x != ""))), ",").alias("structures"),
     )
+
+
+def recounted(df: DataFrame, text_col: str = "text", size_col: str = "n_chars") -> DataFrame:
+    """df with its column of text sizes, if it has one, counted anew in code points."""
+    if size_col not in df.columns:
+        return df
+    kind = df.schema[size_col].dataType
+    return df.withColumn(size_col, F.when(F.col(text_col).isNull(), F.col(size_col)).otherwise(F.char_length(text_col)).cast(kind))
