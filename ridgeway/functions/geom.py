@@ -208,14 +208,18 @@ def orient(ax, ay, bx, by, cx, cy) -> Column:
     return (bx - ax) * (cy - ay) - (by - ay) * (cx - ax)
 
 
+def in_edges(edges: Column, x: Column, y: Column) -> Column:
+    """Whether a point is inside a closed ring given by its edges, by crossings of a ray; on the border either may be."""
+
+    def crossed(s):
+        rise = s["b"]["y"] - s["a"]["y"]
+        return ((s["a"]["y"] > y) != (s["b"]["y"] > y)) & (x < (s["b"]["x"] - s["a"]["x"]) * (y - s["a"]["y"]) / F.when(rise == 0, 1.0).otherwise(rise) + s["a"]["x"])
+
+    return F.size(F.filter(edges, crossed)) % 2 == 1
+
+
 def in_ring(ring: Column, x: Column, y: Column) -> Column:
-    """Whether a point is inside a closed ring, by crossings of a ray; on the border either may be."""
-    hits = F.filter(
-        segments(ring),
-        lambda g: ((g["a"]["y"] > y) != (g["b"]["y"] > y))
-        & (x < (g["b"]["x"] - g["a"]["x"]) * (y - g["a"]["y"]) / F.when(g["b"]["y"] == g["a"]["y"], 1.0).otherwise(g["b"]["y"] - g["a"]["y"]) + g["a"]["x"]),
-    )
-    return F.size(hits) % 2 == 1
+    return in_edges(segments(ring), x, y)
 
 
 def segment_distance2(px, py, ax, ay, bx, by) -> Column:
