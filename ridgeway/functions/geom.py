@@ -22,6 +22,11 @@ def r6(col: Column | str) -> Column:
     return F.round(col, 6) + F.lit(0.0)
 
 
+def let(value: Column, fn) -> Column:
+    """fn(value) with the value evaluated once, however often fn uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
 
@@ -85,7 +90,7 @@ def line_centroid(line: Column) -> Column:
 
 def without_repeats(line: Column) -> Column:
     """The line less points equal to the one before them."""
-    return F.filter(line, lambda p, i: (i == 0) | (p != F.element_at(line, F.greatest(i, F.lit(1)))))
+    return let(line, lambda v: F.filter(v, lambda p, i: (i == 0) | (p != F.element_at(v, F.greatest(i, F.lit(1))))))
 
 
 def end_and_next(line: Column, end: int) -> tuple[Column, Column]:
@@ -112,9 +117,8 @@ def ray(start: Column, angle: Column, far: Column | float) -> Column:
 
 def bisector_transect(a: Column, b: Column, c: Column, width: float) -> Column:
     """A line of this length through b that halves the angle between a and c, as struct<a,b>."""
-    first = azimuth(b, a)
-    angle = first + (azimuth(b, c) - first) / 2
-    return F.struct(ray(b, angle, width / 2).alias("a"), ray(b, angle, -width / 2).alias("b"))
+    angle = let(azimuth(b, a), lambda first: first + (azimuth(b, c) - first) / 2)
+    return let(angle, lambda t: F.struct(ray(b, t, width / 2).alias("a"), ray(b, t, -width / 2).alias("b")))
 
 
 def normal_transect(a: Column, b: Column, width: float) -> Column:
@@ -183,11 +187,13 @@ def along(seg: Column, d: Column) -> Column:
 
 def interpolate(measured_line: Column, d: Column) -> Column:
     """The point at a distance along a measured line, held to its ends."""
-    total = F.element_at(measured_line, -1)["from"] + F.element_at(measured_line, -1)["len"]
-    at = F.least(F.greatest(d, F.lit(0.0)), total)
-    inside = F.filter(measured_line, lambda s: (s["from"] <= at) & (at <= s["from"] + s["len"]))
     last = F.element_at(measured_line, -1)
-    return F.when(F.size(inside) > 0, along(inside[0], at)).otherwise(last["b"])
+
+    def held(at):
+        inside = F.filter(measured_line, lambda s: (s["from"] <= at) & (at <= s["from"] + s["len"]))
+        return F.coalesce(F.get(F.transform(F.slice(inside, 1, 1), lambda s: along(s, at)), F.lit(0)), last["b"])
+
+    return let(F.least(F.greatest(d, F.lit(0.0)), last["from"] + last["len"]), held)
 
 
 def nearest(measured_line: Column, p: Column) -> Column:
@@ -196,10 +202,14 @@ def nearest(measured_line: Column, p: Column) -> Column:
     def foot(s):
         dx, dy = s["b"]["x"] - s["a"]["x"], s["b"]["y"] - s["a"]["y"]
         n = dx * dx + dy * dy
-        t = F.when(n > 0, F.least(F.greatest(((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-        x, y = s["a"]["x"] + dx * t, s["a"]["y"] + dy * t
-        d2 = (x - p["x"]) * (x - p["x"]) + (y - p["y"]) * (y - p["y"])
-        return F.struct(d2.alias("d2"), (s["from"] + s["len"] * t).alias("along"), x.alias("x"), y.alias("y"))
+        share = F.when(n > 0, F.least(F.greatest(((p["x"] - s["a"]["x"]) * dx + (p["y"] - s["a"]["y"]) * dy) / n, F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
+
+        def at(t):
+            x, y = s["a"]["x"] + dx * t, s["a"]["y"] + dy * t
+            d2 = (x - p["x"]) * (x - p["x"]) + (y - p["y"]) * (y - p["y"])
+            return F.struct(d2.alias("d2"), (s["from"] + s["len"] * t).alias("along"), x.alias("x"), y.alias("y"))
+
+        return let(share, at)
 
     return F.array_min(F.transform(measured_line, foot))
 

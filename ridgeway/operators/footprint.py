@@ -69,7 +69,7 @@ def transect_widths(left: DataFrame, polygons: DataFrame, offset: float = 30.0,
     p = p.select("edges", *[c(f"box.{n}").alias(f"p{n}") for n in ("x0", "y0", "x1", "y1")])
     met = inside_pieces(grid_join(box, p, ["tx0", "ty0", "tx1", "ty1"], ["px0", "py0", "px1", "py1"], size), "edges", "a", "b")
     longest = F.array_max(F.transform("pieces", lambda s: s["to"] - s["from"]))
-    widths = met.select("id", "i", (longest * g.point_distance(c("a"), c("b"))).alias("w")).filter("w IS NOT NULL").groupBy("id", "i").agg(F.max("w").alias("w"))
+    widths = met.select("id", "i", (longest * g.point_distance(c("a"), c("b"))).alias("w")).groupBy("id", "i").agg(F.max("w").alias("w"))
     return t.select("id", "i").join(widths, ["id", "i"], "left").select("id", "i", F.coalesce("w", F.lit(0.0)).alias("width"))
 
 

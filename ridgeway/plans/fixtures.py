@@ -42,7 +42,7 @@ def track(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", "l_quantity", "l_extendedprice"]
     rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct(*order))).alias("v"))
     pts = F.transform("v", lambda p: g.point(p["l_partkey"] % 1000, p["l_suppkey"] * 7 % 1000))
-    return rows.select("id", g.without_repeats(pts).alias("pts")).filter(F.size("pts") >= 2)
+    return rows.select("id", pts.alias("pts")).select("id", g.without_repeats(F.col("pts")).alias("pts")).filter(F.size("pts") >= 2)
 
 
 TRACK = """t0 AS (

@@ -276,12 +276,18 @@ lw AS (
   LEFT JOIN (SELECT id, quantile_cont(w, 0.75) AS a, quantile_cont(w, 0.9) AS m, count(*) AS n FROM wid WHERE w > 1e-9 GROUP BY 1) USING (id))"""
 
 
+_SHIFTED = fx.POLY.replace("poly AS (", "poly0 AS (", 1) + """,
+poly AS (SELECT id, x0 + CAST(0.125 AS DOUBLE) AS x0, y0 + CAST(0.125 AS DOUBLE) AS y0, x1 + CAST(0.125 AS DOUBLE) AS x1, y1 + CAST(0.125 AS DOUBLE) AS y1 FROM poly0)"""
+
+
 def _widths(spark, sf):
-    t = fx.track(spark, sf)
-    return footprint.line_widths(t, footprint.transect_widths(t, fx.rings(spark, sf), 30.0))
+    t, p = fx.track(spark, sf), fx.poly(spark, sf)
+    for c in ("x0", "y0", "x1", "y1"):  # off the lines' whole numbers, so that no transect runs along an edge
+        p = p.withColumn(c, F.col(c) + 0.125)
+    return footprint.line_widths(t, footprint.transect_widths(t, p.select("id", fx.rectangle().alias("ring")), 30.0))
 
 
-@q("widths", f"SELECT id, {R('avg_width', 'avg_width')}, {R('max_width', 'max_width')}, n_widths FROM lw", fx.TRACK, fx.POLY, _TRAN)
+@q("widths", f"SELECT id, {R('avg_width', 'avg_width')}, {R('max_width', 'max_width')}, n_widths FROM lw", fx.TRACK, _SHIFTED, _TRAN)
 def widths(spark, sf):
     return _widths(spark, sf).select("id", r6("avg_width").alias("avg_width"), r6("max_width").alias("max_width"), "n_widths")
 
@@ -290,7 +296,7 @@ def widths(spark, sf):
     "group_max",
     f"SELECT id, id % 100 AS bt_group, {R('max(avg_width) OVER (PARTITION BY id % 100)', 'avg_width')}, {R('max(max_width) OVER (PARTITION BY id % 100)', 'max_width')} FROM lw",
     fx.TRACK,
-    fx.POLY,
+    _SHIFTED,
     _TRAN,
 )
 def group_max(spark, sf):
