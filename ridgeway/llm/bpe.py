@@ -85,7 +85,9 @@ def _edges(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int, pattern:
             at = np.asarray(boundaries(text, pattern), dtype="<i8")
             end = len(text) if last else len(text) - MARGIN
             heads.append((at[(at < overlap) & (at <= end)] + k * chunk).tobytes())
-            tails.append((at[(at >= chunk) & (at <= end)] + k * chunk).tobytes())
+            # A cut ends a piece: white space before it would no longer see what follows, so a cut never follows any.
+            late = [x for x in at[(at >= chunk) & (at <= end)].tolist() if not text[x - 1].isspace()]
+            tails.append((np.asarray(late, "<i8") + k * chunk).tobytes())
         yield pa.RecordBatch.from_arrays(
             [batch.column("key"), batch.column("k"), pa.array(heads, pa.binary()), pa.array(tails, pa.binary())],
             names=["key", "k", "head", "tail"],
