@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules that register queries when imported.
-MODULES: tuple[str, ...] = ("ridgeway.plans.line_queries", "ridgeway.plans.raster_queries", "ridgeway.plans.network_queries")
+MODULES: tuple[str, ...] = ("ridgeway.plans.line_queries", "ridgeway.plans.raster_queries", "ridgeway.plans.network_queries", "ridgeway.plans.tool_queries")
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
