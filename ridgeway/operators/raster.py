@@ -149,7 +149,7 @@ def focal_mosaic(cells: DataFrame, threshold: float, radius: int, size: int = 64
         return cells.select("row", "col", F.lit(0.0).alias("mean"), F.lit(0.0).alias("std"))
     r0, c0, r1, c1 = span
 
-    def run(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         top, left = max(int(key[0]) * size - radius, r0), max(int(key[1]) * size - radius, c0)
         bottom, right = min((int(key[0]) + 1) * size + radius, r1 + 1), min((int(key[1]) + 1) * size + radius, c1 + 1)
         if bottom <= top or right <= left:

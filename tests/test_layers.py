@@ -147,3 +147,12 @@ def test_stream_equals_batch(spark, tmp_path):
     want = lines.explode_segments(lines.clean_lines(df))
     got = ingest.stored_segments(spark, str(tmp_path / "out"))
     assert sorted(map(str, got.select(want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_command_line(spark, tmp_path):
+    from ridgeway.plans import cli
+
+    lines_of(spark, (1, P((0, 0), (20, 0))), (2, P((10, -10), (10, 10)))).write.parquet(str(tmp_path / "in" / "lines"))
+    said = json.dumps({"in_line": str(tmp_path / "in"), "out": str(tmp_path / "out"), "use_angle_grouping": "true"})
+    assert cli.main(["check_seed_line", "-i", said]) == ["lines"]
+    assert spark.read.parquet(str(tmp_path / "out" / "lines")).count() == 4
