@@ -4,7 +4,7 @@ A text longer than `chunk` characters is cut into chunks that overlap by `overla
 its own, in parallel. Matching always goes on from the end of the last match and never looks back, so once two
 neighbours agree on one boundary inside their overlap they agree on all later ones: the text is cut there, and the
 pieces between cuts are encoded in parallel. A boundary near the end of a chunk isn't trusted, as the missing text
-could have made its match longer. Where neighbours never agree (a run of one kind of character longer than the
+could have made its match longer, and no cut follows white space, whose matches look ahead. Where neighbours never agree (a run of one kind of character longer than the
 overlap), the cut is left out and the piece just gets longer; results stay exact.
 
 Ids are those of the tiktoken library for the same ranks and pattern; decoding concatenates the raw bytes of ids.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ridgeway.llm.common import texts
-from ridgeway.llm.components import connected_components
+from ridgeway.operators.components import connected_components
 from ridgeway.session import forget, written
 
 WORDS, K, T, LINK = 5, 64, 36, 75
@@ -171,7 +171,7 @@ def forest(ids_a, sets_a, sigs_a, groups_a, ids_b, sets_b, sigs_b, groups_b, t:
 
 
 def _blocks(t: int, link: int):
-    def kernel(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         i, j = key[1], key[2]
         frame = frame.sort_values("rep").reset_index(drop=True)
 

@@ -83,7 +83,7 @@ _ROWS = "doc_id bigint, piece bigint, start bigint, length bigint, bin bigint, o
 
 
 def _packed(capacities: tuple[int, ...]):
-    def kernel(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
         bins, offsets, capacity = pack(frame["length"].to_numpy(), capacities)
         return frame[["doc_id", "piece", "start", "length"]].assign(bin=(int(key[0]) << 32) + bins, offset=offsets, capacity=capacity)

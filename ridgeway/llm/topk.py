@@ -129,7 +129,7 @@ def search(queries: np.ndarray, query_ids: np.ndarray, bound: np.ndarray, near:
 
 
 def _pass(k: int, top: float, pivots: np.ndarray, dim: int):
-    def kernel(key, asked: pd.DataFrame, strip: pd.DataFrame) -> pd.DataFrame:
+    def kernel(key: tuple, asked: pd.DataFrame, strip: pd.DataFrame) -> pd.DataFrame:
         if not len(asked) or not len(strip):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         q = _matrix(asked["q"], dim)
