@@ -1,9 +1,10 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
 A document is the average of learned vectors: one for each word and one for each of its character n-grams (over
-Unicode code points, with marks at the word's ends), hashed into `buckets` rows. A softmax layer on that average gives
-two class probabilities. As nothing between the vectors and the layer is nonlinear, a fitted model folds into one
-number for each bucket, and scoring is a weighted sum; a document's score is the softmax probability of class 1.
+Unicode code points, with marks at the word's ends), and one for every pair of equal words in a row, hashed into
+`buckets` rows. A softmax layer on that average gives two class probabilities. As nothing between the vectors and the
+layer is nonlinear, a fitted model folds into one number for each bucket, and scoring is a weighted sum; a document's
+score is the softmax probability of class 1.
 
 The fit uses at most `max_rows` labelled rows, those with the smallest hash of the id (the documented bound), in one
 task; scoring reads every whole text and needs no shuffle. The folded model has a fixed size (4 bytes a bucket).
@@ -19,6 +20,8 @@ from __future__ import annotations
 import struct
 from collections import Counter
 from collections.abc import Iterator
+from itertools import islice
+from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -32,6 +35,8 @@ BUCKETS, DIM, EPOCHS, RATE, MAX_ROWS, NGRAMS, SEED = 1 << 17, 16, 6, 0.5, 4000,
 _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x100000001B3)
 #: Code points that never occur in a text stand for the ends of a word.
 _OPEN, _CLOSE = 0x110000, 0x110001
+#: Stands for a word that follows itself; no text has it as a word of its own.
+REPEAT = "\u0000=\u0000"
 #: Words whose sums a worker keeps.
 _KEPT = 400_000
 
@@ -72,6 +77,15 @@ def word_features(words: list[str], buckets: int = BUCKETS, ngrams: tuple[int, .
     return np.concatenate(owners), (np.concatenate(found) % np.uint64(buckets)).astype(np.int64)
 
 
+def counted(text: str) -> Counter:
+    """How often each word occurs, and, as a word of its own, how often a word follows itself: all such pairs are one feature."""
+    words = text.split()
+    counts = Counter(words)
+    if same := sum(map(eq, words, islice(words, 1, None))):
+        counts[REPEAT] = same
+    return counts
+
+
 def fit(docs: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, ngrams: tuple[int, ...] = NGRAMS, seed: int = SEED) -> tuple[np.ndarray, float]:
     """The folded model: a weight for each bucket and a bias."""
     labels = np.asarray(labels, np.int64)
@@ -80,7 +94,7 @@ def fit(docs: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int =
         return np.zeros(buckets, np.float32), float(np.log(share / (1 - share)))
     rows = []
     for text in docs:
-        counts = Counter(text.split())
+        counts = counted(text)
         if not counts:
             rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
             continue
@@ -134,14 +148,14 @@ class Scorer:
         self.known.update(zip(words, zip(sums.tolist(), counts.tolist())))
 
     def logits(self, docs: list[str]) -> list[float]:
-        counted = [Counter(x.split()) for x in docs]
+        each = [counted(x) for x in docs]
         if len(self.known) > _KEPT:
             self.known.clear()
-        new = set().union(*counted).difference(self.known) if counted else set()
+        new = set().union(*each).difference(self.known) if each else set()
         if new:
             self.learn(sorted(new))
         out = []
-        for counts in counted:
+        for counts in each:
             total, n = 0.0, 0
             for word, times in sorted(counts.items()):
                 s, k = self.known[word]
