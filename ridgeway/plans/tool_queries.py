@@ -75,7 +75,7 @@ def tool_footprint_rel(spark, sf):
 
 @query("tool_ground_footprint")
 def tool_ground_footprint(spark, sf):
-    out = tools.ground_footprint(clean_seg(spark, sf), fx.rings(spark, sf), merge_group=False, cell=4.0)
+    out = tools.ground_footprint(clean_seg(spark, sf), fx.rings(spark, sf), cell=4.0)
     cells = out["footprint"].groupBy("id").agg(F.count(F.lit(1)).alias("n_cells"))
     return out["merged_lines"].join(cells, "id", "left").select("id", "bt_group", r6("avg_width").alias("avg_width"), r6("max_width").alias("max_width"), r6("length").alias("length"), "n_cells")
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from ridgeway.functions import geom as g
 from ridgeway.operators import footprint, kernels, lines, profile, topology
 from ridgeway.operators.spatial_join import grid_join
+from ridgeway.session import written
 
 #: The corridor threshold, how a centreline ended, and what is cut off its ends.
 CORRIDOR, SUCCESS, FAILED, REGENERATED, NOT_REGENERATED, END_CLIP = 2.5, 1, 2, 3, 4, 5.0
@@ -199,7 +200,7 @@ def check_seed_line(in_line: DataFrame, use_angle_grouping: bool = True) -> dict
     """lines: (id, source, piece, pts, bt_group): lines cleaned, cut where they meet, and grouped into ways."""
     clean = lines.clean_lines(in_line)
     pieces = topology.split_lines(clean, topology.meetings(clean))
-    flat = pieces.select(F.col("id").alias("source"), "piece", "pts").withColumn("id", F.xxhash64("source", "piece"))
+    flat = written(pieces.select(F.col("id").alias("source"), "piece", "pts").withColumn("id", F.xxhash64("source", "piece")), "pieces")
     table = topology.vertex_table(flat.select("id", "pts"), simplify=1.0)
     if not use_angle_grouping:
         table = table.withColumn("connected", topology.groups_at_vertex(F.transform("ends", lambda e: F.struct(e["id"].alias("id"), F.lit(-1).alias("grp")))))
@@ -234,7 +235,7 @@ def centerline(in_line: DataFrame, in_raster: DataFrame, line_radius: float = 15
     done = met.groupBy("id", "seg").applyInPandas(run, f"id bigint, seg int, lc {g.LINE}, pts {g.LINE}, cl_status int, rings array<{g.LINE}>")
     alone = work.select("id", "seg", "pts").join(met.select("id", "seg").distinct(), ["id", "seg"], "left_anti")
     left = alone.select("id", "seg", F.lit(None).cast(g.LINE).alias("lc"), "pts", F.lit(FAILED).alias("cl_status"), F.lit(None).cast(f"array<{g.LINE}>").alias("rings"))
-    every = done.unionByName(left)
+    every = written(done.unionByName(left), "centerlines")  # three layers from one run
     return {
         "centerline": every.select("id", "seg", "pts", "cl_status"),
         "least_cost_path": every.select("id", "seg", F.coalesce("lc", "pts").alias("pts")),
@@ -327,16 +328,16 @@ def ground_footprint(in_line: DataFrame, in_footprint: DataFrame, offset: float
     else:
         pieces = topology.split_lines(clean.select("id", "pts"), topology.meetings(clean.select("id", "pts")))
         merged = pieces.join(clean.select("id", "bt_group"), "id").select(F.xxhash64("id", "piece").alias("id"), "bt_group", "pts")
-    merged = merged.select("id", "bt_group", "pts")
+    merged = written(merged.select("id", "bt_group", "pts"), "merged")  # used five times below
     plain = topology.simplified(merged, 0.1)
     if n_samples:
         t = plain.withColumn("m", g.measured(F.col("pts"))).withColumn("len", g.length(F.col("pts")))
         plain = t.select("id", F.transform(F.sequence(F.lit(0), F.lit(n_samples)), lambda k: g.interpolate(F.col("m"), F.col("len") * k / n_samples)).alias("pts"))
     widths = footprint.line_widths(plain, footprint.transect_widths(plain, in_footprint, offset), width_percentile)
     sized = merged.join(footprint.imputed(widths, "avg_width", "max_width"), "id")
-    sized = footprint.group_max(sized).withColumn("length", g.length(F.col("pts")))
+    sized = written(footprint.group_max(sized).withColumn("length", g.length(F.col("pts"))), "sized")
     radius = F.col("max_width") * 1.2 / 2 if max_width else F.col("avg_width") / 2
-    cells = footprint.buffered_cells(sized.withColumn("r", radius), "r", cell)
+    cells = written(footprint.buffered_cells(sized.withColumn("r", radius), "r", cell), "cells")
     out = {"merged_lines": sized.select("id", "bt_group", "pts", "avg_width", "max_width", "n_widths", "length"), "untrimmed_footprint": cells, "widths": widths, "footprint": cells}
     if trim_output and not merge_group:
         table = topology.vertex_table(merged.select("id", "pts"), simplify=1.0)
