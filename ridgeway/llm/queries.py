@@ -57,7 +57,7 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report = line_dedup.line_report(table(spark, sf_dir, "documents"))
+    report = line_dedup.line_report(table(spark, sf_dir, "documents"), distance=None)
     return report.select("doc_id", "n_lines", (F.col("n_lines") - F.size("dropped")).alias("n_kept"), F.array_join(F.transform("dropped", lambda x: x.cast("string")), ",").alias("dropped"))
 
 
