@@ -182,6 +182,90 @@ def trim_ends(footprints: DataFrame, table: DataFrame, left: DataFrame) -> DataF
     return rows.mapInPandas(run, f"id bigint, ring {g.LINE}")
 
 
+def cut_cells(rows: np.ndarray, cols: np.ndarray, a, b, cell: float = 1.0) -> np.ndarray:
+    """Which cells stay when a segment cuts a footprint: those of the larger part where it makes one part more; else all."""
+    y, x = rows - rows.min(), cols - cols.min()
+    mask = np.zeros((2 * y.max() + 1, 2 * x.max() + 1), bool)  # cells at even places, steps between neighbours at odd ones
+    mask[2 * y, 2 * x] = True
+    mask[1::2, ::2] = mask[:-1:2, ::2] & mask[2::2, ::2]
+    mask[::2, 1::2] = mask[::2, :-1:2] & mask[::2, 2::2]
+    before = kernels.label4(mask)[2 * y, 2 * x]
+    a, b = (np.array([p[0] / cell - 0.5 - cols.min(), p[1] / cell - 0.5 - rows.min()]) for p in (a, b))  # in cells, centres whole
+    d = b - a
+    for step, ex, ey in ((mask[::2, 1::2], 1.0, 0.0), (mask[1::2, ::2], 0.0, 1.0)):
+        py, px = np.nonzero(step)
+        side = lambda x, y: d[0] * (y - a[1]) - d[1] * (x - a[0])
+        s0, s1 = side(px, py) >= 0, side(px + ex, py + ey) >= 0
+        den = d[0] * ey - d[1] * ex
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((px - a[0]) * ey - (py - a[1]) * ex) / den
+        crossed = (s0 != s1) & (t >= 0) & (t <= 1)
+        step[py[crossed], px[crossed]] = False
+    after = kernels.label4(mask)[2 * y, 2 * x]
+    if len(np.unique(after)) != len(np.unique(before)) + 1:
+        return np.ones(len(rows), bool)
+    split = [c for c in np.unique(before) if len(np.unique(after[before == c])) == 2][0]
+    parts, sizes = np.unique(after[before == split], return_counts=True)
+    return after != parts[sizes.argmin()]
+
+
+def _cut_all(cells: DataFrame, cuts: DataFrame, cell: float) -> DataFrame:
+    """(id, row, col): footprints cut by their transects (id, n, t), in order of n."""
+    c = F.col
+    ends = cuts.filter("t IS NOT NULL").select("id", "n", *[c("t")[e][v].alias(e + v) for e in "ab" for v in "xy"])
+    todo = ends.groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "ax", "ay", "bx", "by"))).alias("cuts"))
+    met = cells.join(todo, "id")
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        for cut in frame["cuts"].iloc[0]:
+            keep = cut_cells(frame["row"].to_numpy(), frame["col"].to_numpy(), (cut["ax"], cut["ay"]), (cut["bx"], cut["by"]), cell)
+            frame = frame[keep]
+        return frame[["id", "row", "col"]]
+
+    whole = cells.join(todo.select("id"), "id", "left_anti").select("id", "row", "col")
+    return whole.unionByName(met.groupBy("id").applyInPandas(run, "id bigint, row bigint, col bigint"))
+
+
+def _cell_of(x: Column, cell: float) -> Column:
+    return F.floor(x / cell)
+
+
+def trim_end_cells(cells: DataFrame, table: DataFrame, left: DataFrame, cell: float = 1.0, simplify: float = 1.0) -> DataFrame:
+    """(id, row, col): footprints as cells, cut at loose ends: at single-way vertices and those without a primary line.
+
+    left, table: the lines of the network and its vertices; their ids needn't be the footprints'. A footprint that holds
+    the vertex and the midpoint of a line that isn't connected there is cut by that line's end transect (the last such
+    line's), and its larger part stays. All vertices are taken at once.
+    """
+    c = F.col
+    loose = table.filter((F.size("connected") == 0) & c("class").isNotNull()).select("kx", "ky", "x", "y", "ends", F.posexplode("not_connected").alias("n", "line"))
+    loose = loose.withColumn("end", F.get(F.transform(F.filter("ends", lambda e: e["id"] == c("line")), lambda e: e["end"]), F.lit(0))).drop("ends")
+    ends = lines.ends(topology.simplified(left, simplify)).select(c("id").alias("line"), "end", g.end_transect(c("p"), c("q"), TRANSECT).alias("t"))
+    mid = left.select(c("id").alias("line"), g.interpolate(g.measured(c("pts")), g.length(c("pts")) / 2).alias("m"))
+    at = loose.join(ends, ["line", "end"]).join(mid, "line")
+    at = at.select("kx", "ky", "n", "t", _cell_of(c("x"), cell).alias("row"), _cell_of(c("y"), cell).alias("vr"), _cell_of(c("m.x"), cell).alias("mc"), _cell_of(c("m.y"), cell).alias("mr"))
+    at = at.withColumnRenamed("row", "col").withColumnRenamed("vr", "row")
+    held = at.join(cells.select("id", "row", "col"), ["row", "col"]).drop("row", "col")
+    held = held.join(cells.select("id", c("row").alias("mr"), c("col").alias("mc")), ["id", "mr", "mc"])
+    last = held.groupBy("id", "kx", "ky").agg(F.max_by("t", "n").alias("t"))
+    return _cut_all(cells, last.select("id", F.struct("kx", "ky").alias("n"), "t"), cell)
+
+
+def trim_primary_cells(cells: DataFrame, table: DataFrame, left: DataFrame, cell: float = 1.0, simplify: float = 1.0) -> DataFrame:
+    """(id, row, col): footprints as cells, those of the first connected pair of a vertex of three to five lines cut by the
+    transect that halves the pair's angle there, the larger parts kept. All vertices are taken at once."""
+    c = F.col
+    pair = F.get("connected", F.lit(0))
+    end_of = lambda line, k: F.get(F.transform(F.filter("ends", lambda e: e["id"] == line), lambda e: e["end"]), k)
+    first = table.filter((F.size("connected") > 0) & c("class").isNotNull()).select("kx", "ky", "x", "y", "ends", pair.alias("pair"))
+    first = first.select("kx", "ky", g.point(c("x"), c("y")).alias("v"), c("pair.a").alias("a"), c("pair.b").alias("b"), end_of(c("pair.a"), F.lit(0)).alias("ea"), end_of(c("pair.b"), F.when(c("pair.a") == c("pair.b"), 1).otherwise(0)).alias("eb"))
+    ends = lines.ends(topology.simplified(left, simplify)).select("id", "end", "q")
+    both = first.join(ends.select(c("id").alias("a"), c("end").alias("ea"), c("q").alias("qa")), ["a", "ea"]).join(ends.select(c("id").alias("b"), c("end").alias("eb"), c("q").alias("qb")), ["b", "eb"])
+    both = both.select("kx", "ky", "a", "b", g.bisector_transect(c("qa"), c("v"), c("qb"), TRANSECT).alias("t"))
+    both = both.select("kx", "ky", "t", F.explode(F.array_distinct(F.array("a", "b"))).alias("id"))
+    return _cut_all(cells, both.select("id", F.struct("kx", "ky").alias("n"), "t"), cell)
+
+
 def trim_intersections(cells: DataFrame, table: DataFrame, left: DataFrame, cell: float = 1.0) -> DataFrame:
     """(id, row, col): footprints as cells, less those of the primary lines near the vertices where they meet.
 

@@ -319,7 +319,8 @@ def ground_footprint(in_line: DataFrame, in_footprint: DataFrame, offset: float
     """merged_lines (id, pts, avg_width, max_width, length), untrimmed_footprint and footprint (id, row, col), widths.
 
     in_line: (id, pts) with bt_group, which is the id where it is missing; in_footprint: (id, ring) with bt_group or
-    without. n_samples: how many stations to put transects at; None takes the line's own points.
+    without. Loose ends are trimmed; without merge_group also the primary lines at their vertex, and the others near it.
+    n_samples: how many stations to put transects at; None takes the line's own points.
     """
     clean = lines.clean_lines(in_line)
     clean = clean if "bt_group" in clean.columns else clean.withColumn("bt_group", F.col("id"))
@@ -339,9 +340,12 @@ def ground_footprint(in_line: DataFrame, in_footprint: DataFrame, offset: float
     radius = F.col("max_width") * 1.2 / 2 if max_width else F.col("avg_width") / 2
     cells = written(footprint.buffered_cells(sized.withColumn("r", radius), "r", cell), "cells")
     out = {"merged_lines": sized.select("id", "bt_group", "pts", "avg_width", "max_width", "n_widths", "length"), "untrimmed_footprint": cells, "widths": widths, "footprint": cells}
-    if trim_output and not merge_group:
-        table = topology.vertex_table(merged.select("id", "pts"), simplify=1.0)
-        out["footprint"] = footprint.trim_intersections(cells, table, merged.select("id", "pts"), cell)
+    if trim_output:
+        network = (clean if merge_group else merged).select("id", "pts")  # loose ends are those of the lines before merging
+        table = written(topology.vertex_table(network, simplify=1.0), "vertices")
+        trimmed = cells if merge_group else written(footprint.trim_primary_cells(cells, table, network, cell), "primary")
+        trimmed = written(footprint.trim_end_cells(trimmed, table, network, cell), "ends")
+        out["footprint"] = trimmed if merge_group else footprint.trim_intersections(trimmed, table, network, cell)
     return out
 
 

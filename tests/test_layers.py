@@ -1,10 +1,11 @@
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ridgeway.functions import geom as g
-from ridgeway.operators import components, footprint, raster, spatial_join
+from ridgeway.operators import components, footprint, raster, spatial_join, topology
 from ridgeway.plans import fixtures as fx
 from ridgeway.plans import tools
 from ridgeway.sources import layers
@@ -156,3 +157,31 @@ def test_command_line(spark, tmp_path):
     said = json.dumps({"in_line": str(tmp_path / "in"), "out": str(tmp_path / "out"), "use_angle_grouping": "true"})
     assert cli.main(["check_seed_line", "-i", said]) == ["lines"]
     assert spark.read.parquet(str(tmp_path / "out" / "lines")).count() == 4
+
+
+def test_ground_footprints_are_trimmed_at_loose_ends(spark):
+    seeds = lines_of(spark, (1, P((10, 10), (20, 10), (30, 10), (40, 10))), (2, P((40, 10), (70, 10))))
+    rect = spark.createDataFrame([(9, P((0, 6), (90, 6), (90, 14), (0, 14), (0, 6)))], f"id bigint, ring {g.LINE}")
+    for merge in (True, False):
+        out = tools.ground_footprint(seeds, rect, merge_group=merge)
+        whole, left = (out[n].toPandas() for n in ("untrimmed_footprint", "footprint"))
+        assert whole.col.min() < 9 and whole.col.max() > 71
+        assert left.col.min() == 10 and left.col.max() == 69 and set(left.id) == set(whole.id)
+        inner = whole[whole.col.between(10, 69)]
+        assert len(left.drop_duplicates(["row", "col"])) == len(inner.drop_duplicates(["row", "col"]))
+        assert len(tools.ground_footprint(seeds, rect, merge_group=merge, trim_output=False)["footprint"].toPandas()) == len(whole)
+
+
+def test_primary_footprints_are_cut_at_their_vertex(spark):
+    seeds = lines_of(spark, (1, P((0, 30), (40, 30))), (2, P((40, 30), (80, 30))), (3, P((40, 30), (42, 70))))
+    cells = footprint.buffered_cells(seeds.withColumn("r", F.lit(5.0)), "r")
+    table = topology.vertex_table(seeds)
+    out = footprint.trim_primary_cells(cells, table, seeds).toPandas()
+    assert out[out.id == 1].col.max() == 39 and out[out.id == 2].col.min() == 40
+    assert len(out[out.id == 3]) == cells.filter("id = 3").count()
+
+
+def test_a_segment_cuts_cells_only_where_it_parts_them():
+    r, c = (x.ravel() for x in np.mgrid[0:10, 0:10])
+    assert footprint.cut_cells(r, c, (3, -5), (3, 15)).sum() == 70
+    assert footprint.cut_cells(r, c, (3, 5), (3, 15)).all() and footprint.cut_cells(r, c, (20, 0), (20, 9)).all()
