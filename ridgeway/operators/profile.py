@@ -28,6 +28,36 @@ def ring_cells(lines: DataFrame, cells: DataFrame, rings: int = 15, width: float
     return met.select("id", F.when(cross >= 0, "left").otherwise("right").alias("side"), F.floor(F.abs(cross) / c("len") / width).cast("int").alias("ring"), "h").filter(F.col("ring") < rings)
 
 
+def ring_cells_along(lines: DataFrame, cells: DataFrame, rings: int = 15, width: float = 1.0, size: float = 32.0) -> DataFrame:
+    """(id, side, ring, h): the same beside lines (id, pts) of any number of points, as one strip along the whole line.
+
+    A cell belongs to the nearest segment; outside a bend it is as far as the bend's point, on the side that halves it.
+    Only the line's own ends bound the strip. Of two-point lines the result is that of ring_cells.
+    """
+    c, reach = F.col, rings * width
+    long = lines.filter(F.size("pts") > 2).select("id", g.segments(c("pts")).alias("s"))
+    long = long.select("id", F.filter("s", lambda p: g.point_distance(p["a"], p["b"]) > 0).alias("s"))
+    s = long.select("id", F.size("s").alias("n"), F.posexplode("s").alias("seg", "p")).select("id", "n", "seg", *[c(f"p.{e}.{v}").alias(f"{v}{i}") for i, e in ((1, "a"), (2, "b")) for v in ("x", "y")])
+    s = s.select(
+        "*", (F.least("x1", "x2") - reach).alias("bx0"), (F.least("y1", "y2") - reach).alias("by0"), (F.greatest("x1", "x2") + reach).alias("bx1"), (F.greatest("y1", "y2") + reach).alias("by1"),
+        g.distance(c("x1"), c("y1"), c("x2"), c("y2")).alias("len"),
+    )
+    dx, dy = c("x2") - c("x1"), c("y2") - c("y1")
+    along = ((c("x") - c("x1")) * dx + (c("y") - c("y1")) * dy) / c("len")
+    cross = (dx * (c("y") - c("y1")) - dy * (c("x") - c("x1"))) / c("len")
+    bounded = ((c("seg") > 0) | (along >= 0)) & ((c("seg") < c("n") - 1) | (along <= c("len")))
+    far = F.when(along < 0, g.distance(c("x"), c("y"), c("x1"), c("y1"))).when(along > c("len"), g.distance(c("x"), c("y"), c("x2"), c("y2"))).otherwise(F.abs(cross))
+    met = grid_join(s, cells.select("x", "y", "h"), ["bx0", "by0", "bx1", "by1"], ["x", "y", "x", "y"], size, far < reach)
+    one = met.select("id", "x", "y", "h", F.struct(far.alias("far"), cross.alias("cross"), bounded.alias("bounded")).alias("d"))
+    one = one.groupBy("id", "x", "y", "h").agg(F.min("d.far").alias("far"), F.collect_list("d").alias("d"))
+    tied = F.filter("d", lambda d: d["far"] <= c("far") + 1e-9)  # at a bend its two segments
+    one = one.withColumn("d", tied).filter(F.exists("d", lambda d: d["bounded"]))
+    side = F.aggregate("d", F.lit(0.0), lambda t, d: t + d["cross"])
+    many = one.select("id", F.when(side >= 0, "left").otherwise("right").alias("side"), F.floor(c("far") / width).cast("int").alias("ring"), "h").filter(c("ring") < rings)
+    two = lines.filter(F.size("pts") == 2).select("id", *[F.get("pts", F.lit(i))[v].alias(f"{v}{i + 1}") for i in (0, 1) for v in ("x", "y")])
+    return ring_cells(two, cells, rings, width, size).unionByName(many)
+
+
 def ring_percentiles(ringed: DataFrame, percentile: float = 50.0) -> DataFrame:
     """(id, side, ring, n, p): the percentile of the cells of each ring, linear between ranks; outside (0, 100] it is 50."""
     share = (percentile if 0 < percentile <= 100 else 50.0) / 100

@@ -73,6 +73,14 @@ def tool_footprint_rel(spark, sf):
     return out.groupBy("id").agg(F.count(F.lit(1)).alias("n_cells"))
 
 
+@query("tool_footprint_rel_track")
+def tool_footprint_rel_track(spark, sf):
+    """Lines of several points: every twentieth track, on a twentieth of its scale."""
+    pts = F.transform("pts", lambda p: g.point(p["x"] / 20, p["y"] / 20))
+    out = tools.line_footprint_rel(fx.track(spark, sf).filter("id % 20 = 0").select("id", pts.alias("pts")), fx.mosaic(spark, sf))["footprint"]
+    return out.groupBy("id").agg(F.count(F.lit(1)).alias("n_cells"))
+
+
 @query("tool_ground_footprint")
 def tool_ground_footprint(spark, sf):
     out = tools.ground_footprint(clean_seg(spark, sf), fx.rings(spark, sf), cell=4.0)

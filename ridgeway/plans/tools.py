@@ -265,6 +265,24 @@ def canopy_footprint_abs(in_line: DataFrame, in_raster: DataFrame, corridor_thre
     return {"footprint": met.groupBy("id").applyInPandas(run, "id bigint, row bigint, col bigint")}
 
 
+def signed_distance(line: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """How far points are from a line, above 0 on its left. Beyond its ends it goes on straight."""
+    best, out = np.full(x.shape, np.inf), np.zeros(x.shape)
+    last, turn = len(line) - 2, np.zeros(x.shape)
+    for i, (a, b) in enumerate(zip(line[:-1], line[1:])):
+        d = b - a
+        n = np.hypot(*d)
+        along, cross = ((x - a[0]) * d[0] + (y - a[1]) * d[1]) / n, (d[0] * (y - a[1]) - d[1] * (x - a[0])) / n
+        over = np.maximum(np.maximum(-along, along - n), 0)
+        far = np.hypot(cross, over)
+        beyond = ((i == 0) & (along < 0)) | ((i == last) & (along > n))
+        size = np.where(beyond | (over == 0), np.abs(cross), far)
+        closer, tied = far < best - 1e-9, np.abs(far - best) <= 1e-9
+        turn = np.where(closer, cross, np.where(tied, turn + cross, turn))  # at a bend its two segments
+        out, best = np.where(closer, size, out), np.where(closer, far, best)
+    return np.where(turn >= 0, out, -out)
+
+
 @tool(
     "line_footprint_relative", _LINES, _RASTER, Parameter("max_ln_width", "float", 32.0, True), Parameter("tree_radius", "float", 1.5, True), Parameter("max_line_dist", "float", 1.5, True),
     Parameter("canopy_avoidance", "float", 0.0, True), Parameter("exponent", "int", 1, True), Parameter("canopy_thresh_percentage", "float", 50.0, True), Parameter("exp_shk_cell", "int", 0, True),
@@ -272,26 +290,24 @@ def canopy_footprint_abs(in_line: DataFrame, in_raster: DataFrame, corridor_thre
 )
 def line_footprint_rel(in_line: DataFrame, in_raster: DataFrame, max_ln_width: float = 32.0, tree_radius: float = 1.5, max_line_dist: float = 1.5, canopy_avoidance: float = 0.0, exponent: int = 1,
                        canopy_thresh_percentage: float = 50.0, exp_shk_cell: int = 0, percentile: float = 50.0, cell: float = 1.0) -> dict[str, DataFrame]:
-    """footprint (id, row, col), line_percentile (id, side, ring, n, p), thresholds: two-point lines, each side by its own rings.
-
-    A line without cells on both sides has no footprint.
+    """footprint (id, row, col), line_percentile (id, side, ring, n, p), thresholds: rings, sides and start cells along the whole line, each
+    side by its own rings. A line without cells on both sides has no footprint.
     """
-    flat = topology.flat_segments(lines.clean_lines(in_line.select("id", "pts"))).select("id", F.col("ax").alias("x1"), F.col("ay").alias("y1"), F.col("bx").alias("x2"), F.col("by").alias("y2"))
-    rings = profile.ring_percentiles(profile.ring_cells(flat, in_raster), percentile)
+    clean = lines.clean_lines(in_line.select("id", "pts")).withColumn("pts", g.without_repeats(F.col("pts"))).filter(F.size("pts") >= 2)
+    rings = profile.ring_percentiles(profile.ring_cells_along(clean, in_raster), percentile)
     found = profile.thresholds(profile.profile(rings)).filter("dyncanth IS NOT NULL")
-    work = flat.join(found, "id").withColumn("pts", F.array(g.point(F.col("x1"), F.col("y1")), g.point(F.col("x2"), F.col("y2"))))
+    work = clean.join(found, "id")
     met = near_cells(work, in_raster, max_ln_width + 1)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         one, w = frame.iloc[0], Window(frame, cell)
         line = array_of(one["pts"])
         px, py = np.meshgrid(w.x, w.y)
-        d = line[1] - line[0]
-        side = (d[0] * (py - line[0][1]) - d[1] * (px - line[0][0])) / np.hypot(*d)
-        stations = np.linspace(0, 1, max(2, math.ceil(np.hypot(*d)) + 1))
+        side = signed_distance(line, px, py)
         every = np.zeros(w.h.shape, bool)
-        for t in stations:
-            every[w.at(line[0] + d * t)] = True
+        for a, b in zip(line[:-1], line[1:]):
+            for t in np.linspace(0, 1, max(2, math.ceil(np.hypot(*(b - a))) + 1)):
+                every[w.at(a + (b - a) * t)] = True
         out = np.zeros(w.h.shape, bool)
         for sign, cut, far in ((1, one["cl_cutht"], one["ldist_cut"]), (-1, one["cr_cutht"], one["rdist_cut"])):
             h = np.where((side * sign >= -1) & (side * sign <= max_ln_width + 1), w.h, np.nan)

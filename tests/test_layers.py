@@ -185,3 +185,24 @@ def test_a_segment_cuts_cells_only_where_it_parts_them():
     r, c = (x.ravel() for x in np.mgrid[0:10, 0:10])
     assert footprint.cut_cells(r, c, (3, -5), (3, 15)).sum() == 70
     assert footprint.cut_cells(r, c, (3, 5), (3, 15)).all() and footprint.cut_cells(r, c, (20, 0), (20, 9)).all()
+
+
+def test_relative_footprints_follow_the_whole_line(spark):
+    cells = strip(spark)
+    seeds = lines_of(spark, (1, P((2.5, 15.5), (37.5, 15.5))), (2, P((2.5, 15.5), (12.5, 15.5), (25.5, 15.5), (37.5, 15.5))), (3, P((2.5, 15.5), (2.5, 15.5), (37.5, 15.5))))
+    out = tools.line_footprint_rel(seeds, cells)
+    got = out["footprint"].toPandas().groupby("id").apply(lambda f: sorted(zip(f.row, f.col)), include_groups=False)
+    assert len(got[1]) > 60 and got[1] == got[2] == got[3]
+    p = {i: sorted(map(tuple, f.drop(columns="id").to_numpy().tolist())) for i, f in out["line_percentile"].toPandas().groupby("id")}
+    assert p[1] == p[2] == p[3]
+
+
+def test_rings_and_sides_around_a_bend(spark):
+    from ridgeway.operators import profile
+
+    bend = lines_of(spark, (1, P((0, 0), (10, 0), (10, 10))))
+    cells = spark.createDataFrame([(x, y, h) for h, (x, y) in enumerate([(5.0, 2.5), (5.0, -2.5), (13.0, -4.0), (12.5, 5.0), (7.5, 5.0), (5.0, 12.0), (-1.0, 1.0)])], "x double, y double, h int")
+    got = {r.h: (r.side, r.ring) for r in profile.ring_cells_along(bend, cells).collect()}
+    assert got == {0: ("left", 2), 1: ("right", 2), 2: ("right", 5), 3: ("right", 2), 4: ("left", 2)}  # the last two are beyond the ends
+    d = tools.signed_distance(np.array([(0.0, 0), (10, 0), (10, 10)]), np.array([5.0, 5, 13, 12.5, 7.5]), np.array([2.5, -2.5, -4, 5, 5]))
+    assert d.tolist() == [2.5, -2.5, -5.0, -2.5, 2.5]
