@@ -3,8 +3,8 @@
 A text is made canonical (case, punctuation, copyright lines, equivalent spellings and white space are levelled) and its
 digest looked up among the digests of known licence texts, made canonical alike: entire texts meet by a hash join. A
 unit is a whole document or a line of one (lines end at a line feed), so a notice that stands on a line of its own is
-found inside any text. The known texts are a table given by the caller; the built-in one holds short notices and short licences. Its
-size is checked before it is broadcast; a larger one is joined by shuffle.
+found inside any text. The known texts are a table given by the caller; the built-in one holds short notices (KNOWN) and
+the entire texts of `license_texts`, with and without title and appendix (`catalogue`). Its size is checked before it is broadcast; a larger one is joined by shuffle.
 
 Nulls count as empty; an empty unit never matches. Repeated rows give repeated results; a digest known under several
 names gives the alphabetically first. Only the id and the text are read.
@@ -12,6 +12,9 @@ names gives the alphabetically first. Only the id and the text are read.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -107,8 +110,45 @@ def whole(lines: Column) -> Column:
     return F.array_join(F.filter(lines, lambda x: x != ""), " ")
 
 
-def known_table(spark: SparkSession, known=KNOWN) -> DataFrame:
-    return spark.createDataFrame(list(known), "license string, text string")
+#: Titles that a text goes by, besides none; the first words of its body.
+TITLES = {
+    "MIT": (("MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "License: MIT"), "Permission is hereby granted"),
+    "ISC": (("ISC License", "The ISC License", "ISC License (ISC)"), "Permission to use"),
+    "BSD-2-Clause": (("BSD 2-Clause License", "The 2-Clause BSD License", 'BSD 2-Clause "Simplified" License', "Simplified BSD License"), "Redistribution and use"),
+    "BSD-3-Clause": (("BSD 3-Clause License", "The 3-Clause BSD License", 'BSD 3-Clause "New" or "Revised" License', "New BSD License"), "Redistribution and use"),
+    "Unlicense": (("The Unlicense", "Unlicense"), "This is free and unencumbered"),
+    "BSL-1.0": (("Boost Software License - Version 1.0 - August 17th, 2003",), "Permission is hereby granted"),
+    "Apache-2.0": (("Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/",), "TERMS AND CONDITIONS FOR USE"),
+}
+
+
+def catalogue(known=KNOWN) -> list[tuple[str, str]]:
+    """(license, text): the given ones and the texts of `license_texts`, each as it stands and in its common forms.
+
+    Forms: with each title and without any; up to the end of its terms, without what follows; the clauses of BSD by
+    numbers, stars or nothing.
+    """
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    texts_of = [(p.stem, p.read_text("utf-8")) for p in files] + [(i, t) for i, t in known if "\n" in t]
+    out = dict.fromkeys(known)
+    for name, text in texts_of:
+        forms = [text]
+        if (end := text.find("END OF TERMS AND CONDITIONS")) >= 0:
+            forms += [text[:end], text[:end] + "END OF TERMS AND CONDITIONS"]
+        titles, start = TITLES.get(name, ((), ""))
+        if start:
+            forms += [f"{title}\n\n{x[x.index(start):]}" for x in list(forms) for title in ("", *titles)]
+        if name.startswith("BSD-"):
+            plain = [re.sub(r"(?m)^\s*(\*|-|[0-9]\.|\([0-9]\)) +", "", x) for x in forms]
+            number = lambda x: re.sub(r"(?m)^(Redistributions of source|Redistributions in binary|Neither the name)", lambda m, n=iter("123"): f"{next(n)}. {m[0]}", x)
+            forms += plain + [number(x) for x in plain]
+        out.update(dict.fromkeys((name, x) for x in forms))
+    return list(out)
+
+
+def known_table(spark: SparkSession, known=None) -> DataFrame:
+    """(license, text): the built-in catalogue, or the texts given."""
+    return spark.createDataFrame(catalogue() if known is None else list(known), "license string, text string")
 
 
 def scan_licenses(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -135,3 +135,17 @@ def test_quality_of_odd_rows(spark):
     assert {x["score"] for x in none.values()} == {0.5}
     kept = classifier.keep_quality(frame(spark, rows), labels)
     assert kept.columns == frame(spark, []).columns and {x.doc_id for x in kept.collect()} >= set(range(100, 140)) and not {x.doc_id for x in kept.collect()} & set(range(200, 240))
+
+
+def test_entire_licence_texts_are_known(spark):
+    from pathlib import Path
+
+    files = sorted((Path(licenses.__file__).parent / "license_texts").glob("*.txt"))
+    mit = [t for k, t in licenses.KNOWN if k == "MIT"][-1].split("\n", 2)[2]
+    named = [(p.stem, p.read_text("utf-8")) for p in files]
+    apache, bsd = dict(named)["Apache-2.0"], dict(named)["BSD-3-Clause"]
+    named += [("MIT", mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 Some One\n\n" + mit), ("Apache-2.0", apache[: apache.index("APPENDIX")])]
+    named += [("BSD-3-Clause", "Copyright 2001 A\nAll rights reserved.\n\n" + bsd[bsd.index("Redistribution and use") :].replace("\n* ", "\n1. ", 1).replace("\n* ", "\n2. ", 1).replace("\n* ", "\n3. ", 1))]
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {p.stem for p in files}
+    out = got(licenses.scan_licenses(frame(spark, [(i, t) for i, (_, t) in enumerate(named)]), licenses.known_table(spark)))
+    assert {i: r["license"] for i, r in out.items()} == {i: n for i, (n, _) in enumerate(named)}
