@@ -12,7 +12,7 @@
    with its family's first block; after that, blocks that are wholly in one component are not compared again.
 
 Links: 100 * intersection >= 75 * union of the sets. With the defaults, a pair at a similarity of exactly 0.75 agrees
-on fewer than 36 of 64 coordinates with a chance of 2 in 10,000; above 0.8 it is below 1 in 10 million.
+on fewer than 30 of 64 coordinates with a chance of 4 in 10 million; the greater the similarity, the less.
 
 Texts with fewer than five words are one shingle; empty and null texts have none and are linked with nothing. Rows that
 repeat an id belong to one document. Only the id and the text are read.
@@ -32,7 +32,7 @@ from ridgeway.llm.common import texts
 from ridgeway.operators.components import connected_components
 from ridgeway.session import forget, written
 
-WORDS, K, T, LINK = 5, 64, 36, 75
+WORDS, K, T, LINK = 5, 64, 30, 75
 #: Classes and shingles of a block at most, about; two blocks are in memory at a time.
 BLOCK, BLOCK_SHINGLES = 512, 3_000_000
 _SPREAD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)

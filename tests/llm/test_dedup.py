@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from ridgeway.llm import exact_dedup, near_dedup
@@ -98,3 +99,13 @@ def test_overlaps_and_forest():
     sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(12)]
     both = near_dedup.overlaps(sets[:7], sets[7:])
     assert both.tolist() == [[len(np.intersect1d(a, b)) for b in sets[7:]] for a in sets[:7]]
+
+
+def test_a_lone_pair_at_the_threshold_is_linked(spark):
+    """48 of 64 shingles in common, and as few as 34 of 64 coordinates."""
+    w = [f"w5332x{i}" for i in range(60)]
+    rows = [(1, " ".join(w)), (2, " ".join(w[:52] + [f"v5332x{i}" for i in range(8)]))]
+    f = near_dedup._multipliers(64)
+    a, b = (near_dedup.shingle_set(t) for _, t in rows)
+    assert (near_dedup.signature(a, f) == near_dedup.signature(b, f)).sum() == 34 and len(np.intersect1d(a, b)) == 48
+    assert {i: r["component_id"] for i, r in got(near_dedup.near_groups(frame(spark, rows))).items()} == {1: 1, 2: 1}
