@@ -49,6 +49,14 @@ def simplify_dp(spark, sf):
     return s.select("id", r6(g.point_distance(F.element_at("pts", 1), F.element_at("pts", -1))).alias("chord"))
 
 
+@query("simplify_dp_kept")
+def simplify_dp_kept(spark, sf):
+    """What is left of each line: how many points, how long, and a digest of the points. SQL has no such recursion over a line."""
+    s = topology.simplified(fx.track(spark, sf), 150.0)
+    told = F.array_join(F.transform("pts", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",")
+    return s.select("id", F.size("pts").alias("n_points"), r6(g.length(F.col("pts"))).alias("length"), F.md5(told.cast("binary")).alias("digest"))
+
+
 @query("tool_check_seed_line")
 def tool_check_seed_line(spark, sf):
     out = tools.check_seed_line(fx.seg_lines(spark, sf))["lines"]

@@ -42,3 +42,19 @@ def test_query_equals_sql(spark, small, duck, name):
 @pytest.mark.parametrize("name", ["trim_ends", "trim_intersections"])
 def test_rows_only(spark, small, name):
     assert registered()[name](spark, small).count() > 0
+
+
+def test_simplified_lines_keep_the_points_of_a_plain_version(spark, small):
+    import hashlib
+
+    from ridgeway.plans import fixtures as fx
+    from tests.test_kernels import plain_simplify
+
+    rows = {r.id: r for r in registered()["simplify_dp_kept"](spark, small).collect()}
+    tracks = {r.id: [(p.x, p.y) for p in r.pts] for r in fx.track(spark, small).collect()}
+    assert rows.keys() == tracks.keys() and any(2 < rows[i].n_points < len(p) for i, p in tracks.items())
+    for i, pts in tracks.items():
+        kept = plain_simplify(pts, 150.0)
+        assert rows[i].n_points == len(kept)
+        assert math.isclose(rows[i].length, sum(math.dist(a, b) for a, b in zip(kept, kept[1:])), abs_tol=1e-5)
+        assert rows[i].digest == hashlib.md5(",".join(f"{x!r} {y!r}" for x, y in kept).encode()).hexdigest()
