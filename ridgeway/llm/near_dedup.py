@@ -4,18 +4,19 @@
    same set form a class and go on as its smallest id.
 2. Classes are posted under each coordinate-value pair. A pair of classes must agree on `t` of `k` coordinates, so a
    class that shares fewer than `t` of its values with anyone is done (skipped), and of the n it shares, the n - t + 1
-   rarest (its prefix) must hold a value of every partner. Each posting links its members to its smallest only; the
-   components of these links are families, and no pair reaches across two.
-3. In a family, collisions of signatures are counted for all pairs, in blocks of bounded size; pairs at or above the
-   match threshold are confirmed on the full sets, exactly. A task returns only the links that join what it had not
-   joined yet, so a group of copies never expands into all its pairs. First each block is compared with itself and
-   with its family's first block; after that, blocks that are wholly in one component are not compared again.
+   rarest (its prefix) must hold a value of every partner. Only prefixes are merged.
+3. In each posting the smallest class is held against the others; collisions of the pairs' signatures are counted and
+   pairs at or above the match threshold are confirmed on the full sets, exactly. These links give components.
+4. Then pairs of different components within a posting are treated alike, so a group of copies never expands into all
+   its pairs. A posting with more than `block` such pairs a member holds a value that many unrelated classes share. It
+   is divided by a second value: partners agree on two within their n - t + 2 rarest, on three within the n - t + 3
+   rarest, and so on, DEPTH values deep. No pair is lost by that.
 
 Links: 100 * intersection >= 75 * union of the sets. With the defaults, a pair at a similarity of exactly 0.75 agrees
 on fewer than 30 of 64 coordinates with a chance of 4 in 10 million; the greater the similarity, the less.
 
 Texts with fewer than five words are one shingle; empty and null texts have none and are linked with nothing. Rows that
-repeat an id belong to one document. Only the id and the text are read.
+repeat an id belong to one document. Rows without an id are linked with nothing. Only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +33,8 @@ from ridgeway.operators.components import connected_components
 from ridgeway.session import forget, written
 
 WORDS, K, T, LINK = 5, 64, 30, 75
-#: Classes and shingles of a block at most, about; two blocks are in memory at a time.
-BLOCK, BLOCK_SHINGLES = 512, 3_000_000
+#: Pairs a member that a posting is expanded into at most, and values that a fuller one is divided by.
+BLOCK, DEPTH = 32, 4
 _SPREAD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 _KEPT = 500_000
@@ -98,15 +98,17 @@ def _sketch(batches: Iterator[pa.RecordBatch], words: int, k: int) -> Iterator[p
 
     factors = _multipliers(k)
     for batch in batches:
-        sizes, digests, signatures = [], [], []
+        sizes, digests, signatures, folded = [], [], [], []
         for text in batch.column("text"):
             s = shingle_set(text.as_py(), words)
             sizes.append(len(s))
             digests.append(xxhash.xxh3_128_digest(s.tobytes()))
-            signatures.append(signature(s, factors).view(np.int64) if len(s) else None)
+            sig = signature(s, factors) if len(s) else None
+            signatures.append(None if sig is None else sig.view(np.int64))
+            folded.append(None if sig is None else (sig >> _S32).astype(np.uint8).tobytes())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "digest", "sig"],
+            [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(signatures, pa.list_(pa.int64())), pa.array(folded, pa.binary())],
+            names=["doc_id", "n_shingles", "digest", "sig", "folded"],
         )
 
 
@@ -119,146 +121,107 @@ def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBa
         yield pa.RecordBatch.from_arrays(columns, names=names)
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
-    """Sizes of the intersections of each set of a with each of b; only shingles that occur twice are looked at."""
-    flat = np.concatenate([*a, *b]) if a or b else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    often = count[column] > 1
-    owner, column = owner[often], column[often]
-    column = np.unique(column, return_inverse=True)[1]
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    out = np.zeros((len(a), len(b)), np.float64)
-    width = 4096
-    for start in range(0, int(column[-1]) + 1 if column.size else 0, width):
-        lo, hi = np.searchsorted(column, [start, start + width])
-        m = np.zeros((len(a) + len(b), width), np.float32)
-        m[owner[lo:hi], column[lo:hi] - start] = 1
-        out += m[: len(a)] @ m[len(a) :].T
-    return out.astype(np.int64)
-
-
-def forest(ids_a, sets_a, sigs_a, groups_a, ids_b, sets_b, sigs_b, groups_b, t: int, link: int) -> list[tuple[int, int]]:
-    """Links between a and b that join groups not joined before; enough for the components, never all pairs."""
-    matches = np.zeros((len(ids_a), len(ids_b)), np.uint8)
-    for i in range(sigs_a.shape[1]):
-        matches += sigs_a[:, i][:, None] == sigs_b[:, i][None, :]
-    near = (matches >= t) & (groups_a[:, None] != groups_b[None, :])
-    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
-    if not len(rows):
-        return []
-    sizes_a, sizes_b = np.array([len(sets_a[i]) for i in rows]), np.array([len(sets_b[j]) for j in cols])
-    both = overlaps([sets_a[i] for i in rows], [sets_b[j] for j in cols])
-    union = sizes_a[:, None] + sizes_b[None, :] - both
-    linked = near[np.ix_(rows, cols)] & (100 * both >= link * union)
-    parent: dict = {}
-
-    def root(x):
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
-
-    out = []
-    for i, j in zip(*np.nonzero(linked)):
-        i, j = rows[i], cols[j]
-        x, y = root(groups_a[i].item()), root(groups_b[j].item())
-        if x != y:
-            parent[max(x, y)] = min(x, y)
-            out.append((ids_a[i], ids_b[j]))
-    return out
-
+def _agreeing(batches: Iterator[pa.RecordBatch], t: int) -> Iterator[pa.RecordBatch]:
+    """Pairs whose signatures, a byte a coordinate, agree on at least t: all that do in full, and by chance a few more."""
+    for batch in batches:
+        if batch.num_rows:
+            x, y = (np.frombuffer(b"".join(batch.column(n).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for n in ("fa", "fb"))
+            yield batch.select(["a", "b"]).filter(pa.array((x == y).sum(axis=1) >= t))
 
-def _blocks(t: int, link: int):
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        i, j = key[1], key[2]
-        frame = frame.sort_values("rep").reset_index(drop=True)
 
-        def side(block):
-            part = frame[frame["block"] == block]
-            sigs = np.stack([np.asarray(x, np.int64) for x in part["sig"]]) if len(part) else np.zeros((0, 1), np.int64)
-            return part["rep"].to_numpy(), [np.frombuffer(x, np.uint64) for x in part["shingles"]], sigs, part["component"].to_numpy()
+def linked(a: np.ndarray, b: np.ndarray, link: int = LINK) -> bool:
+    """Whether 100 times the intersection of two sorted sets is at least `link` times their union."""
+    least, most = sorted((len(a), len(b)))
+    if 100 * least < link * most:
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return 100 * both >= link * (least + most - both)
 
-        a = side(i)
-        b = a if i == j else side(j)
-        found = forest(*a, *b, t, link) if len(a[0]) and len(b[0]) else []
-        return pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([y for _, y in found], np.int64)})
 
-    return kernel
+def _confirmed(batches: Iterator[pa.RecordBatch], link: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sets = ((np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column("sa"), batch.column("sb")))
+        yield batch.select(["a", "b"]).filter(pa.array([linked(x, y, link) for x, y in sets], pa.bool_()))
+
+
+def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: int, link: int) -> DataFrame:
+    """Those of the distinct pairs (a, b) of classes that are linked. Texts are shingled again only where signatures agree."""
+    folded = reps.select("rep", "folded")
+    both = pairs.join(folded.toDF("a", "fa"), "a").join(folded.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
+    near = written(both.mapInArrow(lambda it: _agreeing(it, t), "a bigint, b bigint").distinct(), "near")
+    needed = near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct()
+    asked = rows.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
+    sets = written(asked.mapInArrow(lambda it: _sets(it, words), "rep bigint, shingles binary"), "sets")
+    full = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
+    out = written(full.mapInArrow(lambda it: _confirmed(it, link), "a bigint, b bigint"), "links")
+    forget(near)
+    forget(sets)
+    return out
 
 
-def _families(reps: DataFrame, t: int) -> DataFrame:
-    """(id, component): classes that share a prefix posting, as families. Counts of values come first, then their holders."""
-    posts = reps.filter("sig IS NOT NULL").select("rep", F.explode("sig").alias("v"))
+def _postings(reps: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
+    """(rep, held): the shared values of each class, rarest first, of those that hold t or more; (key, rep, at): its prefix posted."""
+    posts = reps.select("rep", F.explode("sig").alias("v"))
     often = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    held = posts.join(often.hint("shuffle_hash"), "v")
-    each = held.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held")).filter(F.size("held") >= t)
-    prefix = each.select("rep", F.explode(F.slice("held", F.lit(1), F.size("held") - t + 1)).alias("p")).select("rep", F.col("p.v").alias("v"))
+    shared = posts.join(often.hint("shuffle_hash"), "v")
+    each = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held")).filter(F.size("held") >= t)
+    each = written(each.select("rep", F.col("held.v").alias("held")), "held")
+    prefix = each.select("rep", F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + 1)).alias("at", "key"))
+    return each, prefix.select("key", "rep", "at")
+
+
+def _across(postings: DataFrame, each: DataFrame, found: DataFrame, t: int, block: int) -> DataFrame:
+    """(a, b): pairs of classes of different components that share a posting, distinct."""
+    now = postings.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("component"))
+    out = None
+    for depth in range(1, DEPTH + 1):
+        counts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
+        counts = counts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+        full = (F.col("n") * F.col("n") - F.col("same") > 2 * block * F.col("n")) & F.lit(depth < DEPTH)
+        mixed = written(now.join(counts.select("key", full.alias("full")).hint("shuffle_hash"), "key"), "mixed")
+        some = mixed.filter("NOT full").select("key", "rep", "component")
+        pairs = some.alias("x").join(some.alias("y"), "key").filter("x.rep < y.rep AND x.component <> y.component")
+        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
+        out = pairs if out is None else out.union(pairs)
+        rest = mixed.filter("full")
+        if not rest.limit(1).count():
+            break
+        held = F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + depth + 1)).alias("next", "v")
+        now = rest.join(each, "rep").select("key", "rep", "component", "at", held).filter("next > at")
+        now = now.select(F.xxhash64("key", "v").alias("key"), "rep", F.col("next").alias("at"), "component")
+    return out.distinct()
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K, t: int = T, link: int = LINK, block: int = BLOCK) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept), a row for each row of df. Ids are integers.
+
+    block: the pairs a member that a posting may expand into before it is divided.
+    """
+    rows = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
+    sketch = written(rows.mapInArrow(lambda it: _sketch(it, words, k), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>, folded binary"), "sketch")
+    some = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
+    reps = written(some.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("folded").alias("folded")), "classes")
+
+    each, prefix = _postings(reps, t)
     prefix = written(prefix, "prefix")
-    first = prefix.groupBy("v").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    star = prefix.join(first.hint("shuffle_hash"), "v").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
-    found = connected_components(star.distinct())
-    forget(prefix)
-    return found
-
-
-def _links(members: DataFrame, t: int, link: int) -> DataFrame:
-    """(a, b): links enough for the components within each family. members: rep, family, blocks, block, sig, shingles."""
-    start = members.withColumn("component", F.col("rep"))
-    first = F.expr("CASE WHEN blocks = 1 THEN array(0) WHEN block = 0 THEN sequence(0, blocks - 1) ELSE array(0, block) END")
-    tasks = start.select("*", F.explode(first).alias("other")).select(
-        "family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "shingles"
-    )
-    one = tasks.groupBy("family", "i", "j").applyInPandas(_blocks(t, link), "a bigint, b bigint")
-    one = written(one, "links")
-    large = members.filter("blocks > 2")
-    if not large.limit(1).count():
-        return one
-    found = connected_components(one)
-    now = large.join(found, large["rep"] == found["id"], "left").withColumn("component", F.coalesce("component", "rep")).drop("id")
-    spans = now.groupBy("family", "block").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    left = spans.select("family", F.col("block").alias("i"), F.col("least").alias("l1"), F.col("most").alias("m1"))
-    right = spans.select("family", F.col("block").alias("j"), F.col("least").alias("l2"), F.col("most").alias("m2"))
-    # Blocks, not rows: a family has its rows over BLOCK of them.
-    open_pairs = left.join(right, "family").filter("i > 0 AND i < j AND NOT (l1 = m1 AND l2 = m2 AND l1 = l2)").select("family", "i", "j")
-    sides = open_pairs.select("family", "i", "j", F.explode(F.array("i", "j")).alias("block"))
-    tasks = sides.join(now, ["family", "block"]).select("family", "i", "j", "block", "rep", "component", "sig", "shingles")
-    two = tasks.groupBy("family", "i", "j").applyInPandas(_blocks(t, link), "a bigint, b bigint")
-    return one.select("a", "b").union(two)
-
-
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K, t: int = T, link: int = LINK, block: int = BLOCK, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept), a row for each row of df. Ids are integers."""
-    rows = texts(df.filter(F.col(id_col).isNotNull()), id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = written(rows.mapInArrow(lambda it: _sketch(it, words, k), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>"), "sketch")
-    reps = sketch.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"))
-    reps = written(reps, "classes")
-
-    families = _families(reps, t).select(F.col("id").alias("rep"), F.col("component").alias("family"))
-    families = families.join(reps, "rep")
-    of = families.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("s"))
-    of = of.select("family", F.greatest(F.lit(1), F.ceil(F.col("n") / (0.9 * block)), F.ceil(F.col("s") / block_shingles)).cast("int").alias("blocks"))
-    listed = families.join(of, "family").select("rep", "family", "blocks", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int").alias("block"), "sig", "digest")
-    listed = written(listed, "families")
-    # Only texts of families are shingled again. A row that repeats an id with another text has another digest.
-    texts_of = rows.select(F.col("doc_id").alias("rep"), "text").join(listed, "rep")
-    members = texts_of.mapInArrow(
-        lambda it: _sets(it, words), "rep bigint, shingles binary, family bigint, blocks int, block int, sig array<bigint>, digest binary"
-    )
-    members = written(members.drop("digest"), "members")
-    found = connected_components(_links(members, t, link))
-    result = found.select(F.col("id").alias("rep"), "component")
-
-    classes = reps.select("digest", "rep").join(result, "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))
+    first = prefix.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead")
+    star = prefix.join(first.hint("shuffle_hash"), "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    star = written(star.distinct(), "pairs")
+    links = _links(star, reps, rows, words, t, link)
+    found = written(connected_components(links), "components")
+    more = written(_across(prefix, each, found, t, block).join(star, ["a", "b"], "left_anti"), "pairs")
+    if more.limit(1).count():
+        links = links.union(_links(more, reps, rows, words, t, link))
+        forget(found)
+        found = written(connected_components(links), "components")
+    for each_table in (each, prefix, star, more):
+        forget(each_table)
+
+    classes = reps.select("digest", "rep").join(found.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))
     joined = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("group")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("group")).otherwise(F.col("doc_id"))
     out = joined.select("doc_id", "n_shingles", component.alias("component_id"))
-    out = out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
-    nameless = texts(df.filter(F.col(id_col).isNull()), id_col, text_col).select(
-        F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept")
-    )
-    return out.unionByName(nameless)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

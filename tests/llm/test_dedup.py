@@ -92,13 +92,41 @@ def test_near_dedup_of_odd_tables(spark):
     assert [(r.doc_id, r.component_id) for r in twice] == [(7, 7)] * 2
 
 
-def test_overlaps_and_forest():
+def test_links_are_exact():
     import numpy as np
 
     rng = np.random.default_rng(0)
-    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(12)]
-    both = near_dedup.overlaps(sets[:7], sets[7:])
-    assert both.tolist() == [[len(np.intersect1d(a, b)) for b in sets[7:]] for a in sets[:7]]
+    sets = [np.unique(rng.integers(0, 60, rng.integers(1, 200))).astype(np.uint64) for _ in range(60)]
+    for x in sets:
+        for y in sets:
+            both, union = len(set(x.tolist()) & set(y.tolist())), len(set(x.tolist()) | set(y.tolist()))
+            assert near_dedup.linked(x, y) == (100 * both >= 75 * union)
+
+
+def test_unrelated_documents_of_common_shingles_stay_linear(spark):
+    """Documents that share most shingles with someone, but none with most of its own: no posting expands into all pairs."""
+    import random
+
+    rng, n = random.Random(3), 600
+    pool = [" ".join(words(5, 7000 + i)) for i in range(4000)]
+    own = [" ".join(words(5, 20000 + i)) for i in range(n * 36)]
+    rows = [(i, " ".join(rng.sample(pool, 84) + own[36 * i : 36 * i + 36])) for i in range(n)]
+    rows += [(n + i, t + " one two") for i, (_, t) in enumerate(rows[:20])]
+    df = frame(spark, rows)
+    seen = []
+    was = near_dedup._links
+
+    def counting(pairs, *rest):
+        seen.append(pairs.count())
+        return was(pairs, *rest)
+
+    near_dedup._links = counting
+    try:
+        out = got(near_dedup.near_groups(df))
+    finally:
+        near_dedup._links = was
+    assert {i: r["component_id"] for i, r in out.items()} == {i: i - n if i >= n else i for i, _ in rows}
+    assert sum(seen) < 64 * n
 
 
 def test_a_lone_pair_at_the_threshold_is_linked(spark):
