@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from ridgeway.session import written
 
 STRIP, GROUP, ANNULUS, SAMPLE, MAX_PIVOTS = 16384, 16384, 512, 2048, 256
+#: Rings of distance that the vectors of one pivot are cut into at most.
+RINGS = 64
 _BEST = "query_id bigint, vec_id bigint, score bigint"
 
 
@@ -134,7 +136,7 @@ def _pass(k: int, top: float, pivots: np.ndarray, dim: int):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         q = _matrix(asked["q"], dim)
         lifted = np.concatenate([q.astype(np.float64), np.zeros((len(q), 1))], axis=1)
-        near = _distances(lifted, pivots[key[0] : key[0] + 1])[:, 0]
+        near = _distances(lifted, pivots[key[0] // RINGS : key[0] // RINGS + 1])[:, 0]
         ids = asked["query_id"].to_numpy()
         owner, score, got = search(q, ids, asked["bound"].to_numpy(), near, _matrix(strip["v"], dim), strip["vec_id"].to_numpy(), strip["dist"].to_numpy(), k, top)
         return pd.DataFrame({"query_id": ids[owner], "vec_id": got, "score": score})
@@ -142,15 +144,26 @@ def _pass(k: int, top: float, pivots: np.ndarray, dim: int):
     return kernel
 
 
-def _open(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, reach: np.ndarray, top: float, dim: int) -> Iterator[pa.RecordBatch]:
-    """With each query, the pivots whose vectors its bound leaves open."""
+def _celled(batches: Iterator[pa.RecordBatch], cuts: np.ndarray, parts: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    """Rows of the index with their cell, a ring of distances about a pivot, and the part of it that they are dealt to."""
+    for batch in batches:
+        pivot, dist, ids = (batch.column(n).to_numpy() for n in ("pivot", "dist", "vec_id"))
+        cell = pivot.astype(np.int32) * RINGS + (dist[:, None] >= cuts[pivot]).sum(axis=1).astype(np.int32)
+        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)
+        part = np.zeros(len(ids), np.int32) if parts is None else (mixed % parts[cell].astype(np.uint64)).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32()), pa.array(part, pa.int32())], names=[*batch.schema.names, "cell", "part"])
+
+
+def _open(batches: Iterator[pa.RecordBatch], pivots: np.ndarray, lo: np.ndarray, hi: np.ndarray, top: float, dim: int) -> Iterator[pa.RecordBatch]:
+    """With each query, the cells whose vectors its bound leaves open."""
+    used = np.flatnonzero(lo <= hi)
     for batch in batches:
         q = batch.column("q").flatten().to_numpy().reshape(-1, dim).astype(np.float64)
-        near = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots)
-        gap = np.maximum(np.maximum(reach[None, :, 0] - near, near - reach[None, :, 1]), 0)
+        near = _distances(np.concatenate([q, np.zeros((len(q), 1))], axis=1), pivots)[:, used // RINGS]
+        gap = np.maximum(np.maximum(lo[used] - near, near - hi[used]), 0)
         square = (q * q).sum(axis=1) + top
         limit = square - 2 * batch.column("bound").to_numpy() + 1e-9 * square + 1e-6
-        left = [np.flatnonzero(row).astype(np.int32) for row in gap * gap <= limit[:, None]]
+        left = [used[row].astype(np.int32) for row in gap * gap <= limit[:, None]]
         yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(left, pa.list_(pa.int32()))], names=[*batch.schema.names, "open"])
 
 
@@ -178,30 +191,42 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, strip: int = STRIP,
     pivots = choose_pivots(_matrix([r.v for r in drawn], dim), min(MAX_PIVOTS, max(8, -(-n // strip))), top)
     index = filled.mapInArrow(lambda it: _keyed(it, pivots, top, dim), "vec_id bigint, v array<bigint>, pivot int, dist double")
     index = written(index, "pivots")
-    # At most MAX_PIVOTS rows.
-    spans = {r.pivot: r for r in index.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect()}
-    salts = F.create_map(*[F.lit(x) for p, r in spans.items() for x in (p, -(-r.n // strip))])
-    reach = np.array([[spans[p].lo, spans[p].hi] if p in spans else [np.inf, -np.inf] for p in range(len(pivots))])
+    # At most MAX_PIVOTS rows of RINGS numbers, then a row for each cell.
+    shares = [i / RINGS for i in range(1, RINGS)]
+    cuts, cells = np.full((len(pivots), RINGS - 1), np.inf), len(pivots) * RINGS
+    for r in index.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("dist", shares, 1000).alias("at")).collect():
+        rings = min(RINGS, -(-r.n // strip))
+        cuts[r.pivot, : rings - 1] = [r["at"][round(RINGS * i / rings) - 1] for i in range(1, rings)]
+    fields = "vec_id bigint, v array<bigint>, pivot int, dist double, cell int, part int"
+    lo, hi, parts = np.full(cells, np.inf), np.full(cells, -np.inf), np.ones(cells, np.int64)
+    sizes = index.mapInArrow(lambda it: _celled(it, cuts, None), fields).groupBy("cell")
+    for r in sizes.agg(F.count(F.lit(1)).alias("n"), F.min("dist").alias("lo"), F.max("dist").alias("hi")).collect():
+        lo[r.cell], hi[r.cell], parts[r.cell] = r.lo, r.hi, -(-r.n // strip)
     groups = -(-asked // group)
-    strips = index.withColumn("salt", F.pmod(F.xxhash64("vec_id"), salts[F.col("pivot")]).cast("int"))
-    strips = strips.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-    queries = index.filter(is_query).groupBy("vec_id").agg(F.min_by(F.struct("v", "pivot"), "v").alias("x"))
-    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("x.v").alias("q"), F.col("x.pivot").alias("home"))
+    dealt = index.mapInArrow(lambda it: _celled(it, cuts, parts), fields)
+    strips = dealt.withColumn("qg", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
+    queries = dealt.filter(is_query).groupBy("vec_id").agg(F.min_by(F.struct("v", "cell", "part"), "v").alias("x"))
+    queries = queries.select(F.col("vec_id").alias("query_id"), F.col("x.v").alias("q"), F.col("x.cell").alias("home"), F.col("x.part").alias("own"))
     queries = queries.withColumn("qg", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(groups)).cast("int"))
-    queries = queries.withColumn("own", F.pmod(F.xxhash64("query_id", F.lit(2)), salts[F.col("home")]).cast("int"))
 
     kernel = _pass(k, top, pivots, dim)
-    keys = ["pivot", "salt", "qg"]
-    seed = queries.select("query_id", "q", "qg", F.col("home").alias("pivot"), F.col("own").alias("salt"), F.lit(float("-inf")).alias("bound"))
+    keys = ["cell", "part", "qg"]
+    seed = queries.select("query_id", "q", "qg", F.col("home").alias("cell"), F.col("own").alias("part"), F.lit(float("-inf")).alias("bound"))
     first = written(seed.groupBy(*keys).cogroup(strips.groupBy(*keys)).applyInPandas(kernel, _BEST), "seeds")
     known = first.groupBy("query_id").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
     known = known.select("query_id", F.when(F.col("n") >= k, F.col("least").cast("double")).otherwise(float("-inf")).alias("bound"))
     bounded = queries.join(known, "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(float("-inf"))))
     fields = "query_id bigint, q array<bigint>, home int, qg int, own int, bound double"
     names = [x.split()[0] for x in fields.split(", ")]
-    rest = bounded.select(*names).mapInArrow(lambda it: _open(it, pivots, reach, top, dim), f"{fields}, open array<int>")
-    rest = rest.withColumn("pivot", F.explode("open")).withColumn("salt", F.explode(F.sequence(F.lit(0), salts[F.col("pivot")] - 1)))
-    rest = rest.filter("NOT (pivot = home AND salt = own)").select("query_id", "q", "qg", "bound", "pivot", "salt")
+    rest = bounded.select(*names).mapInArrow(lambda it: _open(it, pivots, lo, hi, top, dim), f"{fields}, open array<int>")
+    rest = rest.withColumn("cell", F.explode("open"))
+    many = [(int(c), int(parts[c])) for c in np.flatnonzero(parts > 1)]  # cells too full for one task
+    if many:
+        full = spark.createDataFrame(many, "cell int, parts int")
+        rest = rest.join(F.broadcast(full), "cell", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
+    else:
+        rest = rest.withColumn("part", F.lit(0))
+    rest = rest.filter("NOT (cell = home AND part = own)").select("query_id", "q", "qg", "bound", "cell", "part")
     second = rest.groupBy(*keys).cogroup(strips.groupBy(*keys)).applyInPandas(kernel, _BEST)
     ranked = _ranked(first.unionByName(second), k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
