@@ -68,12 +68,13 @@ THIS SOFTWARE.""",
     ),
 )
 
-#: Spellings that count as one, after lower-casing and before punctuation goes.
+#: Marks that stand for the word copyright, before punctuation goes.
+MARKS = (("(c)", "copyright"), ("©", "copyright"))
+#: Spellings that count as one, once a unit's words stand in one line without punctuation.
 SPELLINGS = (
     ("licence", "license"),
-    ("sub-license", "sublicense"),
     ("sub license", "sublicense"),
-    ("non-infringement", "noninfringement"),
+    ("non infringement", "noninfringement"),
     ("merchantibility", "merchantability"),
     ("favour", "favor"),
     ("labour", "labor"),
@@ -82,32 +83,48 @@ SPELLINGS = (
     ("per cent", "percent"),
     ("copyright holder", "copyright owner"),
     ("whilst", "while"),
-    ("http://", "https://"),
-    ("(c)", "copyright"),
-    ("©", "copyright"),
+    ("http ", "https "),
+)
+#: Lines that name copyright holders, in lower case: 'copyright' and a name, a mark, or '(c)' and a year ...
+COPYRIGHT_LINE = (
+    r"^[^\p{L}\p{N}]*copyright[^\p{L}\p{N}]+[\p{L}\p{N}]|^[^\p{L}\p{N}]*©|^[^\p{L}\p{N}]*\(c\).*(19|20)[0-9][0-9]"
+    r"|^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
+)
+#: ... but not those where a licence's own words go on after 'copyright' (fixed values).
+GOES_ON = (
+    r"^[^\p{L}\p{N}]*copyright[^\p{L}\p{N}]+(act|also|and|any|are|as|attribution|can|conditions|disclaimers?|doctrines|for|holders?|if|in|information"
+    r"|infringement|interests?|is|law|laws|legend|licen[cs]e|licen[cs]ed|licen[cs]es|like|lines?|may|must|notices?|of|on|or|owners?|ownership|patent|permission"
+    r"|protection|restrictions|resulting|rights?|shall|statements?|status|terms|that|the library|the program|the software|the work|this|those|to|treaties|treaty|under|which|will|with)"
+    r"([^\p{L}\p{N}]|$)"
 )
-#: A line of copyright holders, on lower-cased text with equal spellings.
-COPYRIGHT_LINE = r"^[^\p{L}\p{N}]*(copyright[^\p{L}\p{N}]*)+([0-9]{4}|by ).*$|^[^\p{L}\p{N}]*all rights reserved[^\p{L}\p{N}]*$"
 #: Bytes of known texts that may be broadcast.
 BROADCAST_BYTES = 8 << 20
 
 
-def canonical_line(line: Column) -> Column:
-    """Words of letters and digits with single spaces between, after levelling case and spellings; a copyright line is empty."""
+def _levelled(line: Column) -> Column:
+    """Words of letters and digits with single spaces between, in lower case; a copyright line is empty."""
     out = F.lower(line)
-    for a, b in SPELLINGS:
+    named = out.rlike(COPYRIGHT_LINE) & ~out.rlike(GOES_ON)
+    for a, b in MARKS:
         out = F.replace(out, F.lit(a), F.lit(b))
-    out = F.regexp_replace(out, COPYRIGHT_LINE, "")
-    return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
+    return F.when(named, "").otherwise(F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " ")))
+
+
+def respelt(words: Column) -> Column:
+    for a, b in SPELLINGS:
+        words = F.replace(words, F.lit(a), F.lit(b))
+    return words
 
 
 def canonical_lines(text: Column | str) -> Column:
-    return F.transform(F.split(text, "\n"), canonical_line)
+    """The levelled lines of a text; `respelt` makes a line a unit of its own."""
+    return F.transform(F.split(text, "\n"), _levelled)
 
 
 def whole(lines: Column) -> Column:
-    """The canonical form of an entire text, from that of its lines: no rule reaches across a line end."""
-    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+    """The canonical form of an entire text, from its levelled lines. Spellings are levelled last, as some have two words
+    that may stand on two lines."""
+    return respelt(F.array_join(F.filter(lines, lambda x: x != ""), " "))
 
 
 #: Titles that a text goes by, besides none; the first words of its body.
@@ -163,7 +180,7 @@ def scan_licenses(df: DataFrame, known: DataFrame, id_col: str = "doc_id", text_
     rows = texts(df, id_col, text_col).select("doc_id", canonical_lines("text").alias("lines"))
     rows = rows.select("doc_id", "lines", whole(F.col("lines")).alias("entire"))
     key = F.when(F.col("entire") == "", "").otherwise(F.md5("entire"))
-    digest_of = F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.lit(1).alias("line"), F.md5(x).alias("digest")))
+    digest_of = F.transform(F.filter("lines", lambda x: x != ""), lambda x: F.struct(F.lit(1).alias("line"), F.md5(respelt(x)).alias("digest")))
     units = rows.select("doc_id", key.alias("of"), F.explode(F.concat(F.array(F.struct(F.lit(0).alias("line"), key.alias("digest"))), digest_of)).alias("u"))
     units = units.select("doc_id", "of", "u.line", "u.digest")
     met = units.join(F.broadcast(digests) if size <= BROADCAST_BYTES else digests, "digest", "left").filter("line = 0 OR license IS NOT NULL")
@@ -183,17 +200,22 @@ def _oracle() -> str:
     """The same for DuckDB; its regular expressions name classes alike, and a known text is a row of VALUES."""
 
     def line(x: str) -> str:
-        x = f"lower({x})"
+        x = out = f"lower({x})"
+        for a, b in MARKS:
+            out = f"replace({out}, '{a}', '{b}')"
+        words = f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        return f"CASE WHEN regexp_matches({x}, '{COPYRIGHT_LINE}') AND NOT regexp_matches({x}, '{GOES_ON}') THEN '' ELSE {words} END"
+
+    def spelt(x: str) -> str:
         for a, b in SPELLINGS:
             x = f"replace({x}, '{a}', '{b}')"
-        x = f"regexp_replace({x}, '{COPYRIGHT_LINE}', '')"
-        return f"trim(regexp_replace({x}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+        return x
 
     def lines(x: str) -> str:
         return f"list_transform(string_split({x}, chr(10)), lambda x: {line('x')})"
 
     def entire(x: str) -> str:
-        return f"array_to_string(list_filter({x}, lambda x: x <> ''), ' ')"
+        return spelt(f"array_to_string(list_filter({x}, lambda x: x <> ''), ' ')")
 
     values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in KNOWN)
     return f"""
@@ -201,7 +223,7 @@ WITH k AS (SELECT license, {entire(lines('text'))} AS c FROM (VALUES {values}) v
 d AS (SELECT md5(c) AS digest, min(license) AS license FROM k WHERE c <> '' GROUP BY 1),
 r AS (SELECT doc_id, {lines("coalesce(text, '')")} AS lines FROM documents),
 e AS (SELECT doc_id, lines, {entire('lines')} AS entire FROM r),
-u AS (SELECT doc_id, md5(x) AS digest FROM (SELECT doc_id, unnest(list_filter(lines, lambda x: x <> '')) AS x FROM e)),
+u AS (SELECT doc_id, md5({spelt('x')}) AS digest FROM (SELECT doc_id, unnest(list_filter(lines, lambda x: x <> '')) AS x FROM e)),
 n AS (SELECT doc_id, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM u JOIN d USING (digest) GROUP BY 1)
 SELECT e.doc_id, CASE WHEN entire = '' THEN '' ELSE md5(entire) END AS digest, d.license, CAST(coalesce(n.n, 0) AS BIGINT) AS n_notices,
        coalesce(n.notices, '') AS notices

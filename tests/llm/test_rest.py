@@ -149,3 +149,15 @@ def test_entire_licence_texts_are_known(spark):
     assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "MPL-2.0", "CC0-1.0", "Unlicense"} <= {p.stem for p in files}
     out = got(licenses.scan_licenses(frame(spark, [(i, t) for i, (_, t) in enumerate(named)]), licenses.known_table(spark)))
     assert {i: r["license"] for i, r in out.items()} == {i: n for i, (n, _) in enumerate(named)}
+
+
+def test_wrapping_and_copyright_lines_do_not_count(spark):
+    import textwrap
+
+    mit = [t for k, t in licenses.KNOWN if k == "MIT"][-1]
+    wrapped = ["\n\n".join(textwrap.fill(" ".join(p.split()), n) for p in mit.split("\n\n")) for n in range(25, 121)]
+    holders = ["Copyright (c) Jane Doe", "Copyright The Foo Authors", "(c) Foo Inc. 2019", "© 2020 A. B.", "Copyright 2001-2003 by X", "COPYRIGHT (C) 1999 Y. All rights reserved.", " * Copyright Some One"]
+    rows = list(enumerate(wrapped + [f"{h}\n\n{mit}" for h in holders] + [mit.replace("copyright notice", "notice")]))
+    out = got(licenses.scan_licenses(frame(spark, rows), licenses.known_table(spark)))
+    assert {r["license"] for i, r in out.items() if i < len(rows) - 1} == {"MIT"} and out[len(rows) - 1]["license"] is None
+    assert len({r["digest"] for i, r in out.items() if i < len(rows) - 1}) == 1
