@@ -7,7 +7,7 @@ SHA-256; that join carries no text, and AQE splits a hot group's documents. Two
 be an error, never a merge.
 
 Nulls count as empty texts; all empty texts are equal. Rows that repeat an id count as members of their group each
-time; they get the same answer. Only the id and the text are read.
+time; they get the same answer. An empty table gives an empty result. `exact_groups` reads only the id and the text.
 """
 
 from __future__ import annotations
@@ -44,14 +44,24 @@ def exact_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each text, that of the smallest id, in df's columns. One shuffle; tasks merge copies before it."""
+    """df with one row of each text, that of the smallest id, in df's columns. One shuffle; tasks merge copies before it.
+
+    Of rows that repeat that id, the one whose raw text and other columns come first in their order stays, nulls first;
+    columns without an order (maps) don't decide.
+    """
     norm = normalised(F.coalesce(F.col(text_col), F.lit("")))
-    row = F.struct(*[F.col(c) for c in df.columns])
-    rows = df.select(norm.alias("norm"), F.col(id_col).alias("id"), row.alias("row"))
-    rows = rows.select(hash128(F.col("norm")).alias("h"), "norm", "id", "row")
+    ordered = [f.name for f in df.schema if not any(x in f.dataType.simpleString() for x in ("map<", "variant"))]
+    first = [c for c in (id_col, text_col) if c in ordered]
+    names = first + [c for c in ordered if c not in first]
     # Nulls last: an id beats none.
-    kept = rows.groupBy("h", "norm").agg(F.min_by("row", F.struct(F.col("id").isNull(), "id")).alias("row"))
-    return kept.select("row.*")
+    order = F.struct(F.col(id_col).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(names)])
+    rest = [c for c in df.columns if c not in names]
+    rows = df.select(norm.alias("norm"), order.alias("order"), *([F.struct(*[F.col(c).alias(f"r{i}") for i, c in enumerate(rest)]).alias("rest")] if rest else []))
+    rows = rows.select(hash128(F.col("norm")).alias("h"), *rows.columns)
+    best = [F.min("order").alias("order"), *([F.min_by("rest", "order").alias("rest")] if rest else [])]
+    kept = rows.groupBy("h", "norm").agg(*best)
+    at = {c: F.col(f"order.c{i}") for i, c in enumerate(names)} | {c: F.col(f"rest.r{i}") for i, c in enumerate(rest)}
+    return kept.select(*[at[c].alias(c) for c in df.columns])
 
 
 ORACLE = r"""

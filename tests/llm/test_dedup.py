@@ -137,3 +137,16 @@ def test_a_lone_pair_at_the_threshold_is_linked(spark):
     a, b = (near_dedup.shingle_set(t) for _, t in rows)
     assert (near_dedup.signature(a, f) == near_dedup.signature(b, f)).sum() == 34 and len(np.intersect1d(a, b)) == 48
     assert {i: r["component_id"] for i, r in got(near_dedup.near_groups(frame(spark, rows))).items()} == {1: 1, 2: 1}
+
+
+def test_exact_dedup_does_not_depend_on_the_order_of_rows(spark):
+    import itertools
+
+    rows = [(1, "a  b", "y"), (1, "a b", "x"), (1, "a\tb", None), (2, "a b", "a"), (None, "a b", "a")]
+    found = set()
+    for some in itertools.islice(itertools.permutations(rows), 0, 120, 17):
+        df = spark.createDataFrame([(i, t, s, {"k": 1}) for i, t, s in some], "doc_id bigint, text string, source string, extra map<string,int>").repartition(2)
+        out = exact_dedup.exact_dedup(df)
+        assert out.columns == df.columns
+        found |= {tuple(r)[:3] for r in out.collect()}
+    assert found == {(1, "a\tb", None)}
