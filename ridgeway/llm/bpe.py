@@ -68,6 +68,13 @@ def vocabulary(spark: SparkSession, path: str):
         return spark.sparkContext.broadcast(f.read())
 
 
+def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """The file of a public tokenizer; see its package for the names."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def boundaries(text: str, pattern: str = PATTERN) -> list[int]:
     """Starts of the pre-tokens of a text taken on its own."""
     import regex
@@ -77,6 +84,35 @@ def boundaries(text: str, pattern: str = PATTERN) -> list[int]:
     return [m.start() for m in _pattern[pattern].finditer(text)]
 
 
+def _chunked(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int) -> Iterator[pa.RecordBatch]:
+    """(key, k, part, last): the overlapping chunks of texts, each cut once from the text in memory."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key, text = batch.column("key").slice(i, 1), batch.column("text")[i].as_py()
+            parts = [text[at : at + chunk + overlap] for at in range(0, len(text), chunk)]
+            for at in range(0, len(parts), 64):
+                some = parts[at : at + 64]
+                last = [(at + j) * chunk + chunk + overlap >= len(text) for j in range(len(some))]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([key] * len(some)), pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.string()), pa.array(last)],
+                    names=["key", "k", "part", "last"],
+                )
+
+
+def _cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, start, part): texts cut at the given places."""
+    for batch in batches:
+        for i in range(batch.num_rows):
+            key, text = batch.column("key").slice(i, 1), batch.column("text")[i].as_py()
+            at = [0, *(batch.column("cuts")[i].as_py() or []), len(text)]
+            for j in range(0, len(at) - 1, 64):
+                some = at[j : j + 65]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([key] * (len(some) - 1)), pa.array(some[:-1], pa.int64()), pa.array([text[x:y] for x, y in zip(some, some[1:])], pa.string())],
+                    names=["key", "start", "part"],
+                )
+
+
 def _edges(batches: Iterator[pa.RecordBatch], chunk: int, overlap: int, pattern: str) -> Iterator[pa.RecordBatch]:
     """For each chunk: the boundaries in its first `overlap` characters, and the trusted ones in its last."""
     for batch in batches:
@@ -141,17 +177,9 @@ def _decode(batches: Iterator[pa.RecordBatch], vocab, pattern: str) -> Iterator[
 
 def pieces(long_texts: DataFrame, chunk: int, overlap: int, pattern: str = PATTERN) -> DataFrame:
     """(key, start, part): the long texts cut at resynchronised boundaries. Rows that repeat give the same pieces."""
-    n = F.char_length("text")
     keyed = long_texts.select(F.struct("doc_id", F.md5("text").alias("h")).alias("key"), "text")
     kind = keyed.schema["key"].dataType.simpleString()
-    parts = keyed.select(
-        "key", "text", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / chunk).cast("long"))).alias("k")
-    ).select(
-        "key",
-        "k",
-        F.col("text").substr((F.col("k") * chunk + 1).cast("int"), F.lit(chunk + overlap)).alias("part"),
-        (F.col("k") * chunk + chunk + overlap >= n).alias("last"),
-    )
+    parts = keyed.mapInArrow(lambda it: _chunked(it, chunk, overlap), f"key {kind}, k bigint, part string, last boolean")
     edges = parts.mapInArrow(lambda it: _edges(it, chunk, overlap, pattern), f"key {kind}, k bigint, head binary, tail binary")
     one = edges.groupBy("key", "k").agg(F.min("head").alias("head"), F.min("tail").alias("tail"))
     cuts = (
@@ -163,12 +191,7 @@ def pieces(long_texts: DataFrame, chunk: int, overlap: int, pattern: str = PATTE
         .groupBy("key")
         .agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     )
-    at = F.concat(F.array(F.lit(0).cast("long")), F.coalesce("cuts", F.array().cast("array<bigint>")), F.array(n.cast("long")))
-    cut = keyed.join(cuts, "key", "left").withColumn("at", at)
-    inner = F.size("at") - 1
-    return cut.select("key", "text", F.explode(F.arrays_zip(F.slice("at", 1, inner).alias("a"), F.slice("at", 2, inner).alias("b"))).alias("p")).select(
-        "key", F.col("p.a").alias("start"), F.col("text").substr((F.col("p.a") + 1).cast("int"), (F.col("p.b") - F.col("p.a")).cast("int")).alias("part")
-    )
+    return keyed.join(cuts, "key", "left").select("key", "text", "cuts").mapInArrow(_cut_up, f"key {kind}, start bigint, part string")
 
 
 def encode(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32768, overlap: int = 1024, pattern: str = PATTERN) -> DataFrame:
@@ -192,6 +215,23 @@ def _long_ids(rows: DataFrame, vocab, chunk: int, overlap: int, pattern: str) ->
     return whole.select(F.col("key.doc_id").alias("doc_id"), "ids", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("col")
 
 
+def _counted(batches: Iterator[pa.RecordBatch], vocab, pattern: str) -> Iterator[pa.RecordBatch]:
+    codec = Codec.of(vocab.value, pattern)
+    for batch in batches:
+        n = [len(codec.encode(x.as_py())) for x in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64())], names=["doc_id", "n_tokens"])
+
+
+def token_counts(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32768, overlap: int = 1024, pattern: str = PATTERN) -> DataFrame:
+    """(doc_id, n_tokens), a row for each row of df; ids of texts of one chunk never leave the worker."""
+    rows = texts(df, id_col, text_col)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    size = F.char_length("text")
+    short = rows.filter(size <= chunk).mapInArrow(lambda it: _counted(it, vocab, pattern), f"doc_id {kind}, n_tokens bigint")
+    long_ids = _long_ids(rows.filter(size > chunk), vocab, chunk, overlap, pattern)
+    return short.unionByName(long_ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens")))
+
+
 def decode(df: DataFrame, vocab, pattern: str = PATTERN) -> DataFrame:
     """df with `decoded`, the bytes that its column `ids` stands for."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)

@@ -5,8 +5,8 @@ the permitted length whose expected cost a token is least, given what is still t
 shrinks to the least permitted length that holds its contents. A length's cost is linear in its tokens plus a
 quadratic part for attention plus a fixed part for each sequence, so several lengths pay off together.
 
-Items are dealt over shards of about `shard` items by a hash of id and piece, and each shard is packed in one task, so
-memory is bounded whatever the corpus. An item longer than the largest length is cut into pieces of that length and a
+Items are dealt over shards of about `shard` items by a hash of id and piece. Tasks take ranges of shards and pack one
+after another, so memory is bounded whatever the corpus. An item longer than the largest length is cut into pieces of that length and a
 rest. Items of length 0 or null length get a row without a bin. Rows without an id are packed like others; ties are
 broken by id and piece, so results depend on the rows only, not on their order.
 """
@@ -14,13 +14,15 @@ broken by id and piece, so results depend on the rows only, not on their order.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridgeway.llm.common import WHITE
+from ridgeway.llm import bpe
+from ridgeway.session import written
 
 CAPACITIES, SHARD, OVERHEAD, ATTENTION = (256, 512, 1024, 2048, 4096), 16384, 16.0, 16384.0
 
@@ -79,16 +81,38 @@ def word_tokens(text: Column | str) -> Column:
     return (words + 1).cast("long")
 
 
-_ROWS = "doc_id bigint, piece bigint, start bigint, length bigint, bin bigint, offset bigint, capacity bigint"
+def token_lengths(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n): byte-level BPE tokens of each whole text and one mark for its end, as a table, so that texts are encoded once."""
+    return written(bpe.token_counts(df, vocab, id_col, text_col).select("doc_id", (F.col("n_tokens") + 1).alias("n")), "token-lengths")
+
 
+_ROWS = "doc_id bigint, piece bigint, start bigint, length bigint, bin bigint, offset bigint, capacity bigint"
 
-def _packed(capacities: tuple[int, ...]):
-    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["length", "doc_id", "piece", "start"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets, capacity = pack(frame["length"].to_numpy(), capacities)
-        return frame[["doc_id", "piece", "start", "length"]].assign(bin=(int(key[0]) << 32) + bins, offset=offsets, capacity=capacity)
 
-    return kernel
+def _packed(batches: Iterator[pa.RecordBatch], capacities: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """Packs rows that come by shard and, in it, longest first; one shard is held at a time."""
+
+    def done(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(parts).combine_chunks()
+        bins, offsets, capacity = pack(table.column("length").to_numpy(), capacities)
+        columns = [table.column(c).combine_chunks() for c in ("doc_id", "piece", "start", "length")]
+        columns = [c.chunk(0) if isinstance(c, pa.ChunkedArray) else c for c in columns]
+        return pa.RecordBatch.from_arrays([*columns, pa.array((int(table.column("shard")[0].as_py()) << 32) + bins), pa.array(offsets), pa.array(capacity)], names=[x.split()[0] for x in _ROWS.split(", ")])
+
+    held, shard = [], None
+    for batch in batches:
+        of = batch.column("shard").to_numpy()
+        edges = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1).tolist(), len(of)]
+        for a, b in zip(edges, edges[1:]):
+            if a == b:
+                continue
+            if held and of[a] != shard:
+                yield done(held)
+                held = []
+            shard = of[a]
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield done(held)
 
 
 def best_fit(df: DataFrame, length: Column, id_col: str = "doc_id", capacities: tuple[int, ...] = CAPACITIES, shard: int = SHARD) -> DataFrame:
@@ -102,6 +126,8 @@ def best_fit(df: DataFrame, length: Column, id_col: str = "doc_id", capacities:
     total = items.filter("length > 0").count()
     shards = max(1, -(-total // shard))
     dealt = items.filter("length > 0").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards)).cast("int"))
-    packed = dealt.groupBy("shard").applyInPandas(_packed(tuple(capacities)), _ROWS)
+    # Shards are few and even, so ranges of them are; their hashes would fall together in some partitions.
+    dealt = dealt.repartitionByRange(shards, "shard").sortWithinPartitions("shard", F.desc("length"), "doc_id", "piece", "start")
+    packed = dealt.mapInArrow(lambda it: _packed(it, tuple(capacities)), _ROWS)
     empty = items.filter("length = 0").select("doc_id", "piece", "start", "length", *[F.lit(None).cast("long").alias(c) for c in ("bin", "offset", "capacity")])
     return packed.unionByName(empty)

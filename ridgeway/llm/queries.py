@@ -8,16 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridgeway.llm import bpe, classifier, exact_dedup, licenses, line_dedup, near_dedup, packing, secrets, token_files, topk
+from ridgeway.llm.bpe import vocabulary_path
 from ridgeway.llm.common import table
 from ridgeway.session import fresh_path
 
 
-def vocabulary_path(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
@@ -35,7 +30,8 @@ def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.best_fit(table(spark, sf_dir, "documents"), packing.word_tokens("text"))
+    lengths = packing.token_lengths(table(spark, sf_dir, "documents"), bpe.vocabulary(spark, vocabulary_path()))
+    return packing.best_fit(lengths, F.col("n"))
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

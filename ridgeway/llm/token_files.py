@@ -7,7 +7,9 @@ blocks carries the place of the last separator into the next, so a document that
 
 Where `header` is set, a document's first tokens spell its id in digits of base `eod` (so that none looks like a
 separator). A last document without a separator counts as well. An empty file has no documents, a document without
-tokens counts 0. A file whose size is not a whole number of tokens is an error.
+tokens counts 0. A file whose size is not a whole number of tokens is an error, and so is one over `most` bytes, as a
+file is read by one task: `write_token_files` makes one file for each partition, so deal the documents over more.
+An empty table gives no documents. Columns other than the id and the text are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from ridgeway.llm.bpe import PATTERN, Codec
 from ridgeway.llm.common import texts
 
 EOD, WIDTH, HEADER, BLOCK = 50256, 2, 5, 1 << 20
+#: Bytes of a file at most: what one task reads.
+MOST = 1 << 30
 
 
 def id_digits(doc_id: int, eod: int = EOD, header: int = HEADER) -> list[int]:
@@ -99,13 +103,16 @@ def _scan(batches: Iterator[pa.RecordBatch], block: int, eod: int, width: int, h
         )
 
 
-def count_tokens(spark: SparkSession, path: str, eod: int = EOD, width: int = WIDTH, header: int = HEADER, block: int = BLOCK) -> DataFrame:
+def count_tokens(spark: SparkSession, path: str, eod: int = EOD, width: int = WIDTH, header: int = HEADER, block: int = BLOCK, most: int = MOST) -> DataFrame:
     """(file, doc_no, doc_id, start, n_tokens) of every document in the token files under a path.
 
     doc_no counts from 0 in each file; start is the first token after the header; doc_id is null without a header.
     """
     block -= block % width
-    files = spark.read.format("binaryFile").load(path).filter("length > 0").select("path", "length", "content")
+    found = spark.read.format("binaryFile").load(path).filter("length > 0")
+    if large := found.filter(F.col("length") > most).select("path", "length").first():  # names and sizes only, no content
+        raise ValueError(f"{large.path} has {large.length} bytes, over {most}; write more and smaller files")
+    files = found.select("path", "length", "content")
     cut = files.select("path", "length", "content", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("length") - 1) / block))).alias("k"))
     cut = cut.select("path", "length", "k", F.substring("content", (F.col("k") * block + 1).cast("int"), F.lit(block + header * width)).alias("data"))
     scanned = cut.mapInArrow(lambda it: _scan(it, block, eod, width, header), "path string, k bigint, places array<bigint>, ids array<bigint>")

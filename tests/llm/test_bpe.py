@@ -5,7 +5,7 @@ import pytest
 import tiktoken
 
 from ridgeway.llm import bpe, token_files
-from ridgeway.llm.queries import vocabulary_path
+from ridgeway.llm.bpe import vocabulary_path
 from ridgeway.session import fresh_path
 from tests.llm.helpers import frame, got, odd_rows, text
 
@@ -74,3 +74,39 @@ def test_files_without_header_or_last_separator(spark, tmp_path):
     (tmp_path / "w").mkdir()
     put("w/wide.bin", [70000, 9, 1], 4)
     assert [r.n_tokens for r in token_files.count_tokens(spark, str(tmp_path / "w"), eod=9, width=4, header=0).orderBy("doc_no").collect()] == [1, 1]
+
+
+def test_cutting_is_linear_in_the_length_of_a_text():
+    import time
+
+    import pyarrow as pa
+
+    took = []
+    for n in (8, 16, 32):
+        text_of = "ab cde " * (n * 150_000)
+        key = pa.array([1])
+        began = time.process_time()
+        parts = [b for b in bpe._chunked(iter([pa.RecordBatch.from_arrays([key, pa.array([text_of])], names=["key", "text"])]), 32768, 1024)]
+        cuts = [list(range(30000, len(text_of), 30000))]
+        cut = list(bpe._cut_up(iter([pa.RecordBatch.from_arrays([key, pa.array([text_of]), pa.array(cuts)], names=["key", "text", "cuts"])])))
+        took.append(time.process_time() - began)
+        assert "".join(x for b in cut for x in b.column("part").to_pylist()) == text_of
+        assert sum(b.num_rows for b in parts) == -(-len(text_of) // 32768) and [x for b in parts for x in b.column("last").to_pylist()][-1]
+    assert took[2] < 12 * took[0] + 0.5
+
+
+def test_token_counts_of_odd_rows(spark, vocab, library):
+    rows = odd_rows()
+    out = bpe.token_counts(frame(spark, rows), vocab, chunk=2000, overlap=100)
+    assert sorted((r.doc_id, r.n_tokens) for r in out.collect()) == sorted((i, len(library.encode_ordinary(t or ""))) for i, t in rows)
+
+
+def test_token_files_of_an_empty_table_and_too_large_ones(spark, vocab):
+    path = fresh_path(spark, "test-none")
+    token_files.write_token_files(frame(spark, []), vocab, path)
+    assert token_files.count_tokens(spark, path).count() == 0
+    path = fresh_path(spark, "test-large")
+    token_files.write_token_files(frame(spark, odd_rows()).selectExpr("doc_id", "text", "1 AS n_tokens", "'x' AS file").coalesce(1), vocab, path)
+    assert token_files.count_tokens(spark, path).count() == len(odd_rows())
+    with pytest.raises(ValueError, match="smaller files"):
+        token_files.count_tokens(spark, path, most=100)
