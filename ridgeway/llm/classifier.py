@@ -1,7 +1,7 @@
 """Quality classifier: supervised subword embeddings, trained by numpy stochastic gradient descent.
 
 A document is the average of learned vectors: one for each word and one for each of its character n-grams (over
-Unicode code points, with marks at the word's ends), and one for every pair of equal words in a row, hashed into
+Unicode code points, with marks at the word's ends), and one for each pair of neighbouring words, hashed into
 `buckets` rows. A softmax layer on that average gives two class probabilities. As nothing between the vectors and the
 layer is nonlinear, a fitted model folds into one number for each bucket, and scoring is a weighted sum; a document's
 score is the softmax probability of class 1.
@@ -18,10 +18,7 @@ enter a score.
 from __future__ import annotations
 
 import struct
-from collections import Counter
 from collections.abc import Iterator
-from itertools import islice
-from operator import eq
 
 import numpy as np
 import pandas as pd
@@ -31,12 +28,10 @@ from pyspark.sql import functions as F
 
 from ridgeway.llm.common import texts
 
-BUCKETS, DIM, EPOCHS, RATE, MAX_ROWS, NGRAMS, SEED = 1 << 17, 16, 6, 0.5, 4000, (3, 4, 5), 17
+BUCKETS, DIM, EPOCHS, RATE, MAX_ROWS, NGRAMS, SEED = 1 << 17, 8, 4, 1.5, 12000, (3, 4, 5), 17
 _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x100000001B3)
 #: Code points that never occur in a text stand for the ends of a word.
 _OPEN, _CLOSE = 0x110000, 0x110001
-#: Stands for a word that follows itself; no text has it as a word of its own.
-REPEAT = "\u0000=\u0000"
 #: Words whose sums a worker keeps.
 _KEPT = 400_000
 
@@ -77,13 +72,15 @@ def word_features(words: list[str], buckets: int = BUCKETS, ngrams: tuple[int, .
     return np.concatenate(owners), (np.concatenate(found) % np.uint64(buckets)).astype(np.int64)
 
 
-def counted(text: str) -> Counter:
-    """How often each word occurs, and, as a word of its own, how often a word follows itself: all such pairs are one feature."""
-    words = text.split()
-    counts = Counter(words)
-    if same := sum(map(eq, words, islice(words, 1, None))):
-        counts[REPEAT] = same
-    return counts
+def word_hashes(words: list[str]) -> np.ndarray:
+    """A hash of each word, as its first feature is made of."""
+    owner, bucket = word_features(words, 1 << 62, ())
+    return bucket.astype(np.uint64)
+
+
+def pair_buckets(hashes: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
+    """The bucket of each pair of neighbouring words, from the words' hashes in their order."""
+    return (_mixed(hashes[:-1] * _STEP + _mixed(hashes[1:])) % np.uint64(buckets)).astype(np.int64)
 
 
 def fit(docs: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int = DIM, epochs: int = EPOCHS, rate: float = RATE, ngrams: tuple[int, ...] = NGRAMS, seed: int = SEED) -> tuple[np.ndarray, float]:
@@ -94,13 +91,16 @@ def fit(docs: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int =
         return np.zeros(buckets, np.float32), float(np.log(share / (1 - share)))
     rows = []
     for text in docs:
-        counts = counted(text)
-        if not counts:
+        words = text.split()
+        if not words:
             rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
             continue
-        owner, bucket = word_features(list(counts), buckets, ngrams)
-        times = np.fromiter(counts.values(), np.float32, len(counts))[owner]
-        at, back = np.unique(bucket, return_inverse=True)
+        number = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        order = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
+        owner, bucket = word_features(list(number), buckets, ngrams)
+        pairs = pair_buckets(word_hashes(list(number))[order], buckets)
+        times = np.concatenate([np.bincount(order)[owner], np.ones(len(pairs))]).astype(np.float32)
+        at, back = np.unique(np.concatenate([bucket, pairs]), return_inverse=True)
         weight = np.bincount(back, weights=times).astype(np.float32)
         rows.append((at, weight / weight.sum()))
     rng = np.random.default_rng(seed)
@@ -139,29 +139,33 @@ class Scorer:
         self.bias = struct.unpack("<d", packed[:8])[0]
         self.weights = np.frombuffer(packed[8:], "<f4").astype(np.float64)
         self.ngrams = ngrams
-        self.known: dict[str, tuple[float, int]] = {}
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget the words met: their numbers and, by number, sums of weights, counts of features and hashes."""
+        self.known: dict[str, int] = {}
+        self.sums, self.counts, self.hashes = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
     def learn(self, words: list[str]) -> None:
         owner, bucket = word_features(words, len(self.weights), self.ngrams)
-        sums = np.bincount(owner, weights=self.weights[bucket], minlength=len(words))
-        counts = np.bincount(owner, minlength=len(words))
-        self.known.update(zip(words, zip(sums.tolist(), counts.tolist())))
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.sums = np.concatenate([self.sums, np.bincount(owner, weights=self.weights[bucket], minlength=len(words))])
+        self.counts = np.concatenate([self.counts, np.bincount(owner, minlength=len(words))])
+        self.hashes = np.concatenate([self.hashes, word_hashes(words)])
 
     def logits(self, docs: list[str]) -> list[float]:
-        each = [counted(x) for x in docs]
+        each = [x.split() for x in docs]
         if len(self.known) > _KEPT:
-            self.known.clear()
+            self.clear()
         new = set().union(*each).difference(self.known) if each else set()
         if new:
             self.learn(sorted(new))
         out = []
-        for counts in each:
-            total, n = 0.0, 0
-            for word, times in sorted(counts.items()):
-                s, k = self.known[word]
-                total += s * times
-                n += k * times
-            out.append(self.bias + (total / n if n else 0.0))
+        for words in each:
+            at = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+            pairs = pair_buckets(self.hashes[at], len(self.weights)) if len(at) else at
+            n = int(self.counts[at].sum()) + len(pairs)
+            out.append(self.bias + (float(self.sums[at].sum() + self.weights[pairs].sum()) / n if n else 0.0))
         return out
 
 
@@ -187,8 +191,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("label")).filter("label IN (0, 1) AND doc_id IS NOT NULL")
     known = known.groupBy("doc_id").agg(F.min("label").cast("int").alias("label"))
     order = F.xxhash64("doc_id")
-    # Ids first, so that only the chosen rows' texts are read into the join. The bound stands behind the broadcast.
-    chosen = known.orderBy(order, "doc_id").limit(max_rows)
+    # Ids first, so that only the chosen rows' texts are read into the join; labels without a document don't count
+    # towards the bound, which stands behind the broadcast.
+    held = docs.select(F.col(id_col).alias("doc_id"))
+    chosen = known.join(held, "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_rows)
     sample = texts(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id")
 
     def kernel(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
