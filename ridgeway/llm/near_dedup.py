@@ -5,12 +5,15 @@
 2. Classes are posted under each coordinate-value pair. A pair of classes must agree on `t` of `k` coordinates, so a
    class that shares fewer than `t` of its values with anyone is done (skipped), and of the n it shares, the n - t + 1
    rarest (its prefix) must hold a value of every partner. Only prefixes are merged.
-3. In each posting the smallest class is held against the others; collisions of the pairs' signatures are counted and
-   pairs at or above the match threshold are confirmed on the full sets, exactly. These links give components.
+3. In each posting the class that shares the most values with anyone, in a group of copies the text that they were
+   made from, is held against the others; collisions of the pairs' signatures are counted and pairs at or above the
+   match threshold are confirmed on the full sets, exactly. These links give components.
 4. Then pairs of different components within a posting are treated alike, so a group of copies never expands into all
-   its pairs. A posting with more than `block` such pairs a member holds a value that many unrelated classes share. It
-   is divided by a second value: partners agree on two within their n - t + 2 rarest, on three within the n - t + 3
-   rarest, and so on, DEPTH values deep. No pair is lost by that.
+   its pairs. A posting of more than `block` classes of several components is divided by a second value: partners agree
+   on two within their n - t + 2 rarest. Unrelated classes that hold a common value part there. Classes that stay
+   together in more than `block` are copies of copies, alike but not linked as yet: these families are compared in
+   blocks of bounded size, those between members of the family's main component left out, and a task returns only the
+   links that join what it had not joined yet.
 
 Links: 100 * intersection >= 75 * union of the sets. With the defaults, a pair at a similarity of exactly 0.75 agrees
 on fewer than 30 of 64 coordinates with a chance of 4 in 10 million; the greater the similarity, the less.
@@ -24,6 +27,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +37,8 @@ from ridgeway.operators.components import connected_components
 from ridgeway.session import forget, written
 
 WORDS, K, T, LINK = 5, 64, 30, 75
-#: Pairs a member that a posting is expanded into at most, and values that a fuller one is divided by.
-BLOCK, DEPTH = 32, 4
+#: Classes of a posting that are compared pair by pair at most; classes and shingles of a family's block at most, about.
+BLOCK, FAMILY, FAMILY_SHINGLES = 16, 512, 3_000_000
 _SPREAD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 _KEPT = 500_000
@@ -160,61 +164,158 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: in
 
 
 def _postings(reps: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, held): the shared values of each class, rarest first, of those that hold t or more; (key, rep, at): its prefix posted."""
+    """(rep, held): the shared values of each class, rarest first, of those that hold t or more; (key, rep, at, n): its prefix posted, n being how many it holds."""
     posts = reps.select("rep", F.explode("sig").alias("v"))
     often = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = posts.join(often.hint("shuffle_hash"), "v")
     each = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held")).filter(F.size("held") >= t)
     each = written(each.select("rep", F.col("held.v").alias("held")), "held")
-    prefix = each.select("rep", F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + 1)).alias("at", "key"))
-    return each, prefix.select("key", "rep", "at")
+    prefix = each.select("rep", F.size("held").alias("n"), F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + 1)).alias("at", "key"))
+    return each, prefix.select("key", "rep", "at", "n")
+
+
+def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of a with each of b; only shingles that occur twice are looked at."""
+    flat = np.concatenate([*a, *b]) if a or b else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in [*a, *b]])
+    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
+    often = count[column] > 1
+    owner, column = owner[often], column[often]
+    column = np.unique(column, return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    out = np.zeros((len(a), len(b)), np.float64)
+    width = 4096
+    for start in range(0, int(column[-1]) + 1 if column.size else 0, width):
+        lo, hi = np.searchsorted(column, [start, start + width])
+        m = np.zeros((len(a) + len(b), width), np.float32)
+        m[owner[lo:hi], column[lo:hi] - start] = 1
+        out += m[: len(a)] @ m[len(a) :].T
+    return out.astype(np.int64)
+
+
+def forest(ids_a, sets_a, sigs_a, groups_a, ids_b, sets_b, sigs_b, groups_b, t: int, link: int) -> list[tuple[int, int]]:
+    """Links between a and b that join groups not joined before; enough for the components, never all pairs."""
+    matches = np.zeros((len(ids_a), len(ids_b)), np.uint8)
+    for i in range(sigs_a.shape[1]):
+        matches += sigs_a[:, i][:, None] == sigs_b[:, i][None, :]
+    near = (matches >= t) & (groups_a[:, None] != groups_b[None, :])
+    rows, cols = np.flatnonzero(near.any(axis=1)), np.flatnonzero(near.any(axis=0))
+    if not len(rows):
+        return []
+    sizes_a, sizes_b = np.array([len(sets_a[i]) for i in rows]), np.array([len(sets_b[j]) for j in cols])
+    both = overlaps([sets_a[i] for i in rows], [sets_b[j] for j in cols])
+    union = sizes_a[:, None] + sizes_b[None, :] - both
+    linked = near[np.ix_(rows, cols)] & (100 * both >= link * union)
+    parent: dict = {}
+
+    def root(x):
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = parent[up]
+            x = up
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked)):
+        i, j = rows[i], cols[j]
+        x, y = root(groups_a[i].item()), root(groups_b[j].item())
+        if x != y:
+            parent[max(x, y)] = min(x, y)
+            out.append((ids_a[i], ids_b[j]))
+    return out
+
+
+def _blocks(t: int, link: int):
+    def kernel(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        i, j = key[1], key[2]
+        frame = frame.sort_values("rep").reset_index(drop=True)
+
+        def side(block):
+            part = frame[frame["block"] == block]
+            sigs = np.stack([np.asarray(x, np.int64) for x in part["sig"]]) if len(part) else np.zeros((0, 1), np.int64)
+            return part["rep"].to_numpy(), [np.frombuffer(x, np.uint64) for x in part["shingles"]], sigs, part["component"].to_numpy()
+
+        a = side(i)
+        b = a if i == j else side(j)
+        found = forest(*a, *b, t, link) if len(a[0]) and len(b[0]) else []
+        return pd.DataFrame({"a": np.array([x for x, _ in found], np.int64), "b": np.array([y for _, y in found], np.int64)})
 
+    return kernel
 
-def _across(postings: DataFrame, each: DataFrame, found: DataFrame, t: int, block: int) -> DataFrame:
-    """(a, b): pairs of classes of different components that share a posting, distinct."""
+
+def _across(postings: DataFrame, each: DataFrame, found: DataFrame, t: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(a, b): pairs of classes of different components that share a small posting; (rep, family, component) of classes in full ones."""
     now = postings.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("component"))
-    out = None
-    for depth in range(1, DEPTH + 1):
-        counts = now.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("key")
-        counts = counts.agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("same"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-        full = (F.col("n") * F.col("n") - F.col("same") > 2 * block * F.col("n")) & F.lit(depth < DEPTH)
-        mixed = written(now.join(counts.select("key", full.alias("full")).hint("shuffle_hash"), "key"), "mixed")
+
+    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+        mixed = written(rows.join(counts.select("key", (F.col("n") > block).alias("full")).hint("shuffle_hash"), "key"), "mixed")
         some = mixed.filter("NOT full").select("key", "rep", "component")
         pairs = some.alias("x").join(some.alias("y"), "key").filter("x.rep < y.rep AND x.component <> y.component")
-        pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-        out = pairs if out is None else out.union(pairs)
-        rest = mixed.filter("full")
-        if not rest.limit(1).count():
-            break
-        held = F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + depth + 1)).alias("next", "v")
-        now = rest.join(each, "rep").select("key", "rep", "component", "at", held).filter("next > at")
-        now = now.select(F.xxhash64("key", "v").alias("key"), "rep", F.col("next").alias("at"), "component")
-    return out.distinct()
-
-
-def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K, t: int = T, link: int = LINK, block: int = BLOCK) -> DataFrame:
+        return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), mixed.filter("full").drop("full")
+
+    pairs, full = parted(now)
+    second = F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + 2)).alias("next", "v")
+    rest = full.join(each, "rep").select("key", "rep", "component", "at", second).filter("next > at")
+    more, full = parted(rest.select(F.xxhash64("key", "v").alias("key"), "rep", F.lit(0).alias("at"), "component"))
+    lead = full.groupBy("key").agg(F.min("rep").alias("lead"))
+    star = full.join(lead, "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
+    families = connected_components(star).toDF("rep", "family")
+    members = families.join(found.toDF("rep", "component"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
+    return pairs.union(more).distinct(), written(members, "families")
+
+
+def _family_links(members: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: int, link: int, size: int, shingles: int) -> DataFrame:
+    """(a, b): links enough for the components within each family."""
+    parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("component", "n").alias("main"))
+    placed = members.join(parts, "family").withColumn("own", F.col("component") == F.col("main"))
+    placed = placed.join(reps.select("rep", "n_shingles", "sig"), "rep")
+    room = placed.groupBy("family", "own").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (0.9 * size)), F.ceil(F.sum("n_shingles") / shingles)).cast("int").alias("blocks"))
+    # Blocks of the main component are numbered below zero and never meet each other.
+    number = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    placed = placed.join(room, ["family", "own"]).withColumn("block", F.when(F.col("own"), -1 - number).otherwise(number))
+    spans = room.groupBy("family").agg(F.max(F.when(F.col("own"), F.col("blocks"))).alias("mine"), F.max(F.when(~F.col("own"), F.col("blocks"))).alias("others"))
+    placed = written(placed.join(spans, "family").drop("blocks", "n_shingles", "main", "own"), "placed")
+    # A block of others meets all blocks; one of the main component meets those of others.
+    meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mine"), F.col("others") - 1))
+    asked = rows.select(F.col("doc_id").alias("rep"), "text").join(placed.select("rep").distinct(), "rep")
+    sets = written(asked.mapInArrow(lambda it: _sets(it, words), "rep bigint, shingles binary"), "sets")
+    tasks = placed.join(sets, "rep").select("*", F.explode(meets).alias("other"))
+    tasks = tasks.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "shingles")
+    return written(tasks.groupBy("family", "i", "j").applyInPandas(_blocks(t, link), "a bigint, b bigint"), "links")
+
+
+def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, k: int = K, t: int = T, link: int = LINK, block: int = BLOCK, family: int = FAMILY, family_shingles: int = FAMILY_SHINGLES) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), a row for each row of df. Ids are integers.
 
-    block: the pairs a member that a posting may expand into before it is divided.
+    block: the classes of a posting that are compared pair by pair at most; family: those of a block of a family.
     """
     rows = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
     sketch = written(rows.mapInArrow(lambda it: _sketch(it, words, k), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>, folded binary"), "sketch")
     some = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
-    reps = written(some.agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("folded").alias("folded")), "classes")
+    reps = written(some.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("folded").alias("folded")), "classes")
 
     each, prefix = _postings(reps, t)
     prefix = written(prefix, "prefix")
-    first = prefix.groupBy("key").agg(F.min("rep").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead")
-    star = prefix.join(first.hint("shuffle_hash"), "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b"))
+    most = F.col("n").cast("long") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20))  # the hash breaks ties
+    first = prefix.groupBy("key").agg(F.max_by("rep", most).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "lead")
+    star = prefix.join(first.hint("shuffle_hash"), "key").filter("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
     star = written(star.distinct(), "pairs")
     links = _links(star, reps, rows, words, t, link)
     found = written(connected_components(links), "components")
-    more = written(_across(prefix, each, found, t, block).join(star, ["a", "b"], "left_anti"), "pairs")
+    more, members = _across(prefix, each, found, t, block)
+    more = written(more.join(star, ["a", "b"], "left_anti"), "pairs")
+    late = []
     if more.limit(1).count():
-        links = links.union(_links(more, reps, rows, words, t, link))
+        late.append(_links(more, reps, rows, words, t, link))
+    if members.limit(1).count():
+        late.append(_family_links(members, reps, rows, words, t, link, family, family_shingles))
+    if late:
+        for some_links in late:
+            links = links.union(some_links.select("a", "b"))
         forget(found)
         found = written(connected_components(links), "components")
-    for each_table in (each, prefix, star, more):
+    for each_table in (each, prefix, star, more, members):
         forget(each_table)
 
     classes = reps.select("digest", "rep").join(found.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))

@@ -78,7 +78,7 @@ def test_near_groups_against_brute_force(spark):
     rows = near_rows() + odd_rows()
     want = brute_near(rows)
     for block in (512, 8):
-        out = near_dedup.near_groups(frame(spark, rows), block=block)
+        out = near_dedup.near_groups(frame(spark, rows), block=block, family=2 * block)
         assert sorted(tuple(r) for r in out.select("doc_id", "n_shingles", "component_id", "kept").collect()) == want, block
 
 
@@ -92,6 +92,15 @@ def test_near_dedup_of_odd_tables(spark):
     assert [(r.doc_id, r.component_id) for r in twice] == [(7, 7)] * 2
 
 
+def test_overlaps_and_forest():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    sets = [np.unique(rng.integers(0, 9000, rng.integers(0, 6000))).astype(np.uint64) for _ in range(12)]
+    both = near_dedup.overlaps(sets[:7], sets[7:])
+    assert both.tolist() == [[len(np.intersect1d(a, b)) for b in sets[7:]] for a in sets[:7]]
+
+
 def test_links_are_exact():
     import numpy as np
 
