@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -59,20 +62,48 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, size: float = 32.
     return met.drop("ring", "px0", "py0", "px1", "py1")
 
 
-def transect_widths(left: DataFrame, polygons: DataFrame, offset: float = 30.0, size: float = 64.0) -> DataFrame:
-    """(id, i, width): at each interior point of a line the longest stretch of its transect inside one polygon; 0 without any."""
+def transect_widths(left: DataFrame, polygons: DataFrame, offset: float = 30.0, size: float = 64.0, zeros: bool = True) -> DataFrame:
+    """(id, i, width): at each interior point of a line the longest stretch of its transect inside one polygon.
+
+    A transect that meets no polygon has width 0, or no row where `zeros` is false, which saves a second pass over the
+    lines. With bt_group on both sides only polygons of the line's group count. One shuffle by line after the grid join,
+    which percentiles of a line's widths share.
+    """
+    grouped = "bt_group" in left.columns and "bt_group" in polygons.columns
     t = lines.transects(left.select("id", "pts"), offset)
     c = F.col
     t = t.select("id", "i", c("t.a").alias("a"), c("t.b").alias("b"))
     box = t.select("*", F.least("a.x", "b.x").alias("tx0"), F.least("a.y", "b.y").alias("ty0"), F.greatest("a.x", "b.x").alias("tx1"), F.greatest("a.y", "b.y").alias("ty1"))
+    if grouped:
+        box = box.join(left.select("id", "bt_group"), "id")
     p = polygons.withColumn("box", g.bounds(c("ring"))).withColumn("edges", g.segments(c("ring")))
-    p = p.select("edges", *[c(f"box.{n}").alias(f"p{n}") for n in ("x0", "y0", "x1", "y1")])
-    met = inside_pieces(grid_join(box, p, ["tx0", "ty0", "tx1", "ty1"], ["px0", "py0", "px1", "py1"], size), "edges", "a", "b")
+    p = p.select("edges", *[c("bt_group").alias("poly_group") for _ in (1,) if grouped], *[c(f"box.{n}").alias(f"p{n}") for n in ("x0", "y0", "x1", "y1")])
+    same = c("bt_group") == c("poly_group") if grouped else None
+    met = inside_pieces(grid_join(box, p, ["tx0", "ty0", "tx1", "ty1"], ["px0", "py0", "px1", "py1"], size, same), "edges", "a", "b")
     longest = F.array_max(F.transform("pieces", lambda s: s["to"] - s["from"]))
-    widths = met.select("id", "i", (longest * g.point_distance(c("a"), c("b"))).alias("w")).groupBy("id", "i").agg(F.max("w").alias("w"))
+    pieces = met.select("id", "i", (longest * g.point_distance(c("a"), c("b"))).alias("w"))
+    if not zeros:
+        parts = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return pieces.repartition(parts, "id").groupBy("id", "i").agg(F.max("w").alias("width"))
+    widths = pieces.groupBy("id", "i").agg(F.max("w").alias("w"))
     return t.select("id", "i").join(widths, ["id", "i"], "left").select("id", "i", F.coalesce("w", F.lit(0.0)).alias("width"))
 
 
+def containing_polygon(left: DataFrame, polygons: DataFrame, buffer: float = 1.0, size: float = 32.0) -> DataFrame:
+    """(id, poly_id): of the polygons (id, ring) that hold a line (id, pts) wholly, to within `buffer`, the one of the
+    smallest id. Lines are tested at their points and at stations no further apart than the buffer."""
+    c = F.col
+    work = lines.densify(left.select("id", "pts"), "id", buffer)
+    a = work.withColumn("b", g.bounds(c("pts"))).select(c("id").alias("line"), "pts", *[c(f"b.{n}").alias(f"l{n}") for n in ("x0", "y0", "x1", "y1")])
+    p = polygons.withColumn("b", g.bounds(c("ring"))).withColumn("edges", g.segments(c("ring")))
+    p = p.select(c("id").alias("poly_id"), "edges", *[(c(f"b.{n}") + (buffer if n[1] == "1" else -buffer)).alias(f"p{n}") for n in ("x0", "y0", "x1", "y1")])
+    within = (c("px0") <= c("lx0")) & (c("py0") <= c("ly0")) & (c("px1") >= c("lx1")) & (c("py1") >= c("ly1"))
+    met = grid_join(a, p, ["lx0", "ly0", "lx1", "ly1"], ["px0", "py0", "px1", "py1"], size, within)
+    away = lambda q: F.array_min(F.transform("edges", lambda e: g.segment_distance2(q["x"], q["y"], e["a"]["x"], e["a"]["y"], e["b"]["x"], e["b"]["y"])))
+    held = F.forall("pts", lambda q: g.in_edges(c("edges"), q["x"], q["y"]) | (away(q) <= buffer * buffer))
+    return met.withColumn("held", held).filter("held").groupBy(c("line").alias("id")).agg(F.min("poly_id").alias("poly_id"))
+
+
 def line_widths(left: DataFrame, widths: DataFrame, percentile: float = 75.0) -> DataFrame:
     """(id, avg_width, max_width, n_widths): percentiles of a line's widths above 0; a line without any has the default."""
     w = widths.filter(F.col("width") > 1e-9).groupBy("id").agg(F.percentile("width", F.lit(percentile / 100)).alias("a"), F.percentile("width", F.lit(0.9)).alias("m"), F.count(F.lit(1)).alias("n"))
@@ -97,14 +128,81 @@ def imputed(df: DataFrame, *names: str) -> DataFrame:
     return out.drop(*[f"__{n}" for n in names])
 
 
+#: Cells that a kernel tests at a time, about.
+_CELLS = 1 << 20
+
+
+def capsule_cells(ax, ay, bx, by, r, cell: float = 1.0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(segment number, row, col): the cells whose centres are within r of each segment. Each row of cells is looked at
+    only where the segment comes near it, so a long slanting segment costs its length times r, not its bounds."""
+    dx, dy = bx - ax, by - ay
+    n = dx * dx + dy * dy
+    first = np.floor((np.minimum(ay, by) - r) / cell).astype(np.int64)
+    rows = np.floor((np.maximum(ay, by) + r) / cell).astype(np.int64) - first + 1
+    seg = np.repeat(np.arange(len(ax)), rows)
+    row = first[seg] + np.arange(len(seg)) - np.repeat(np.cumsum(rows) - rows, rows)
+    y = (row + 0.5) * cell
+    with np.errstate(divide="ignore", invalid="ignore"):  # the shares of the segment that are within r of the row's middle
+        one, two = (y - r[seg] - ay[seg]) / dy[seg], (y + r[seg] - ay[seg]) / dy[seg]
+    flat = dy[seg] == 0
+    lo = np.where(flat, 0.0, np.clip(np.minimum(one, two), 0, 1))
+    hi = np.where(flat, 1.0, np.clip(np.maximum(one, two), 0, 1))
+    x0, x1 = ax[seg] + dx[seg] * lo, ax[seg] + dx[seg] * hi
+    left = np.floor((np.minimum(x0, x1) - r[seg]) / cell).astype(np.int64) - 1
+    cols = np.floor((np.maximum(x0, x1) + r[seg]) / cell).astype(np.int64) + 1 - left + 1
+    at = np.repeat(np.arange(len(seg)), cols)
+    col = left[at] + np.arange(len(at)) - np.repeat(np.cumsum(cols) - cols, cols)
+    seg, row = seg[at], row[at]
+    px, py = (col + 0.5) * cell, (row + 0.5) * cell
+    with np.errstate(divide="ignore", invalid="ignore"):
+        t = ((px - ax[seg]) * dx[seg] + (py - ay[seg]) * dy[seg]) / n[seg]
+    t = np.where(n[seg] > 0, np.clip(t, 0.0, 1.0), 0.0)
+    x, y = ax[seg] + dx[seg] * t - px, ay[seg] + dy[seg] * t - py
+    near = x * x + y * y <= r[seg] * r[seg]
+    return seg[near], row[near], col[near]
+
+
+def _buffered(batches: Iterator[pa.RecordBatch], cell: float) -> Iterator[pa.RecordBatch]:
+    """The cells of rows (id, pts, r); a line's own segments don't repeat a cell."""
+
+    def done(of, starts, ends, r):
+        line = np.repeat(np.arange(len(of)), [len(x) for x in starts])
+        a, b = np.concatenate(starts), np.concatenate(ends)
+        seg, row, col = capsule_cells(a[:, 0], a[:, 1], b[:, 0], b[:, 1], np.asarray(r, float)[line], cell)
+        owner = line[seg]
+        order = np.lexsort((col, row, owner))
+        owner, row, col = owner[order], row[order], col[order]
+        new = np.ones(len(owner), bool)
+        new[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1]) | (col[1:] != col[:-1])
+        return pa.RecordBatch.from_arrays([pa.array(np.asarray(of, np.int64)[owner[new]]), pa.array(row[new]), pa.array(col[new])], names=["id", "row", "col"])
+
+    for batch in batches:
+        of, starts, ends, radii, size = [], [], [], [], 0.0
+        flat = batch.column("pts").flatten()
+        xy = np.stack([flat.field("x").to_numpy(zero_copy_only=False), flat.field("y").to_numpy(zero_copy_only=False)], 1)
+        at = np.concatenate([[0], np.cumsum(batch.column("pts").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))])
+        for i, (key, r) in enumerate(zip(batch.column("id").to_pylist(), batch.column("r").to_pylist())):
+            pts = xy[at[i] : at[i + 1]]
+            if key is None or r is None or len(pts) < 2:
+                continue
+            some = (pts[1:] != pts[:-1]).any(axis=1)
+            of.append(key)
+            starts.append(pts[:-1][some])
+            ends.append(pts[1:][some])
+            radii.append(r)
+            size += (np.abs(ends[-1] - starts[-1]).sum() + 2 * r * len(starts[-1])) * (2 * r + cell) / cell**2
+            if size > _CELLS:
+                yield done(of, starts, ends, radii)
+                of, starts, ends, radii, size = [], [], [], [], 0.0
+        if of:
+            yield done(of, starts, ends, radii)
+
+
 def buffered_cells(left: DataFrame, radius: str, cell: float = 1.0) -> DataFrame:
-    """(id, row, col): cells whose centres are within each line's radius (a column). Made from the lines alone, no raster is read."""
-    c = F.col
-    s = topology.flat_segments(left).join(left.select("id", c(radius).alias("r")), "id")
-    span = lambda lo, hi, o: F.sequence(F.floor((c(lo) - c("r")) / cell), F.floor((c(hi) + c("r")) / cell))
-    s = s.select("*", F.explode(span("y0", "y1", 0)).alias("row")).select("*", F.explode(span("x0", "x1", 0)).alias("col"))
-    near = g.segment_distance2((c("col") + 0.5) * cell, (c("row") + 0.5) * cell, c("ax"), c("ay"), c("bx"), c("by")) <= c("r") * c("r")
-    return s.filter(near).select("id", "row", "col").distinct()
+    """(id, row, col): cells whose centres are within each line's radius (a column), without a shuffle. Made from the
+    lines alone, no raster is read. Ids name lines: rows that repeat an id each give their cells."""
+    rows = left.select(F.col("id").cast("long").alias("id"), "pts", F.col(radius).cast("double").alias("r"))
+    return rows.mapInArrow(lambda it: _buffered(it, cell), "id bigint, row bigint, col bigint")
 
 
 def dissolve_cells(cells: DataFrame, group: str) -> DataFrame:
@@ -117,6 +215,13 @@ def split_valid(layer: DataFrame, parts: str) -> dict[str, DataFrame]:
     return {"valid": layer.filter(F.col(parts).isNotNull() & (F.size(parts) > 0)), "invalid": layer.filter(F.size(parts) > 1)}
 
 
+def valid_results(results: DataFrame, geometry: str) -> DataFrame:
+    """The results of a tool less those without anything in them: null, or an empty array or string."""
+    kind = results.schema[geometry].dataType.simpleString()
+    size = F.size(geometry) if kind.startswith(("array", "map")) else F.length(geometry) if kind in ("string", "binary") else F.lit(1)
+    return results.filter(F.col(geometry).isNotNull() & (size > 0))
+
+
 def concat_layers(*layers: DataFrame) -> DataFrame:
     """All rows of all layers; columns that a layer lacks are null."""
     out = layers[0]

@@ -118,3 +118,15 @@ def transects(df: DataFrame, width: float = 30.0, geometry: str = "pts") -> Data
     rest = [c for c in df.columns if c != geometry]
     rows = df.select(*rest, F.posexplode(g.triples(F.col(geometry))).alias("i", "v"))
     return rows.select(*rest, (F.col("i") + 1).alias("i"), g.bisector_transect(F.col("v.a"), F.col("v.b"), F.col("v.c"), width).alias("t"))
+
+
+def snap_end_to_end(df: DataFrame, reference: str, geometry: str = "pts") -> DataFrame:
+    """df with its lines' first and last points moved to the nearer end of a reference line (a column of points; the first
+    of two as near). Lines of fewer than two points, and those whose reference is null or empty, stay as they are."""
+    c, pts, ref = F.col, F.col(geometry), F.col(reference)
+    a, b = F.element_at(ref, 1), F.element_at(ref, -1)
+    far = lambda p, q: (p["x"] - q["x"]) * (p["x"] - q["x"]) + (p["y"] - q["y"]) * (p["y"] - q["y"])
+    nearer = lambda p: F.when(far(p, a) <= far(p, b), a).otherwise(b)
+    inner = F.slice(pts, F.lit(2), F.greatest(F.size(pts) - 2, F.lit(0)))
+    moved = F.concat(F.array(nearer(F.element_at(pts, 1))), inner, F.array(nearer(F.element_at(pts, -1))))
+    return df.withColumn(geometry, F.when((F.size(pts) >= 2) & (F.size(c(reference)) > 0), moved).otherwise(pts))

@@ -16,6 +16,7 @@ from ridgeway.functions import geom as g
 from ridgeway.operators import kernels
 from ridgeway.operators.components import connected_components
 from ridgeway.operators.spatial_join import grid_join
+from ridgeway.session import written
 
 #: Classes of a vertex by its number of line ends and of connected pairs.
 VERTEX_CLASSES = {
@@ -332,3 +333,22 @@ def merge_or_explode(lines: DataFrame) -> DataFrame:
             yield pd.DataFrame(out).astype({"id": "int64", "part": "int32"})
 
     return lines.select("id", "parts").mapInPandas(run, f"id bigint, part int, pts {g.LINE}")
+
+
+def split_layers(left: DataFrame) -> dict[str, DataFrame]:
+    """The layers of a split: split_lines (id, piece, pts), inter_points (x, y), and invalid_splits (id, pts): the lines that
+    meet others in a way that can't be split."""
+    met = written(meetings(left), "meetings")
+    status = intersection_status(left, met)
+    return {
+        "split_lines": split_lines(left, met),
+        "inter_points": split_points(met),
+        "invalid_splits": left.join(status.filter("inter_status = 0"), "id", "left_semi").select("id", "pts"),
+    }
+
+
+def vertices_of(table: DataFrame, changed: DataFrame) -> DataFrame:
+    """Rows of a vertex table whose vertices hold one of the changed lines (id); each vertex once."""
+    held = table.select("kx", "ky", F.explode(F.array_distinct(F.transform("ends", lambda e: e["id"]))).alias("id"))
+    at = held.join(changed.select("id").distinct(), "id", "left_semi").select("kx", "ky").distinct()
+    return table.join(at, ["kx", "ky"], "left_semi")

@@ -284,7 +284,7 @@ def _widths(spark, sf):
     t, p = fx.track(spark, sf), fx.poly(spark, sf)
     for c in ("x0", "y0", "x1", "y1"):  # off the lines' whole numbers, so that no transect runs along an edge
         p = p.withColumn(c, F.col(c) + 0.125)
-    return footprint.line_widths(t, footprint.transect_widths(t, p.select("id", fx.rectangle().alias("ring")), 30.0))
+    return footprint.line_widths(t, footprint.transect_widths(t, p.select("id", fx.rectangle().alias("ring")), 30.0, zeros=False))
 
 
 @q("widths", f"SELECT id, {R('avg_width', 'avg_width')}, {R('max_width', 'max_width')}, n_widths FROM lw", fx.TRACK, _SHIFTED, _TRAN)
@@ -356,3 +356,56 @@ def concat_layers(spark, sf):
     a = fx.seg(spark, sf).select("id", F.lit("seg").alias("kind"), "x1")
     b = fx.poly(spark, sf).select("id", F.lit("poly").alias("kind"), (F.col("x1") - F.col("x0")).alias("w"))
     return footprint.concat_layers(a, b)
+
+
+@q(
+    "containing_polygon",
+    """SELECT seg.id, min(poly.id) AS poly_id FROM sl seg JOIN poly ON greatest(greatest(x0 - seg.x1, 0, seg.x1 - poly.x1) * greatest(x0 - seg.x1, 0, seg.x1 - poly.x1) + greatest(y0 - seg.y1, 0, seg.y1 - poly.y1) * greatest(y0 - seg.y1, 0, seg.y1 - poly.y1),
+         greatest(x0 - seg.x2, 0, seg.x2 - poly.x1) * greatest(x0 - seg.x2, 0, seg.x2 - poly.x1) + greatest(y0 - seg.y2, 0, seg.y2 - poly.y1) * greatest(y0 - seg.y2, 0, seg.y2 - poly.y1)) <= 1 GROUP BY 1""",
+    fx.SEG,
+    _SL,
+    _SHIFTED,
+)
+def containing_polygon(spark, sf):
+    """The first rectangle that holds a line to within 1. They are convex: the SQL looks at the ends only."""
+    p = fx.poly(spark, sf)
+    for c in ("x0", "y0", "x1", "y1"):
+        p = p.withColumn(c, F.col(c) + 0.125)
+    return footprint.containing_polygon(clean_seg(spark, sf), p.select("id", fx.rectangle().alias("ring")))
+
+
+@q(
+    "vertices_of_changed",
+    """SELECT x, y, count(*) AS n_ends FROM (SELECT id, x1 AS x, y1 AS y FROM sl UNION ALL SELECT id, x2, y2 FROM sl) GROUP BY 1, 2 HAVING count(*) FILTER (WHERE id % 10 = 0) > 0""",
+    fx.SEG,
+    _SL,
+)
+def vertices_of_changed(spark, sf):
+    s = clean_seg(spark, sf)
+    at = topology.vertices_of(topology.vertex_table(s), s.filter("id % 10 = 0"))
+    return at.select("x", "y", F.size("ends").cast("long").alias("n_ends"))
+
+
+@q(
+    "snap_end_to_end",
+    """SELECT id, CASE WHEN a1 <= b1 THEN ax ELSE bx END AS x1, CASE WHEN a1 <= b1 THEN ay ELSE by_ END AS y1, CASE WHEN a2 <= b2 THEN ax ELSE bx END AS x2, CASE WHEN a2 <= b2 THEN ay ELSE by_ END AS y2
+       FROM (SELECT *, (x1-ax)*(x1-ax) + (y1-ay)*(y1-ay) AS a1, (x1-bx)*(x1-bx) + (y1-by_)*(y1-by_) AS b1, (x2-ax)*(x2-ax) + (y2-ay)*(y2-ay) AS a2, (x2-bx)*(x2-bx) + (y2-by_)*(y2-by_) AS b2
+             FROM (SELECT *, x2 + id % 7 AS ax, y2 - 2 AS ay, x1 + 1 AS bx, y1 + id % 5 AS by_ FROM sl))""",
+    fx.SEG,
+    _SL,
+)
+def snap_end_to_end(spark, sf):
+    """Each line against one that runs the other way, a little off."""
+    c = F.col
+    s = clean_seg(spark, sf).withColumn("a", F.element_at("pts", 1)).withColumn("b", F.element_at("pts", -1))
+    s = s.withColumn("ref", F.array(g.point(c("b.x") + c("id") % 7, c("b.y") - 2), g.point(c("a.x") + 1, c("a.y") + c("id") % 5)))
+    out = lines.snap_end_to_end(s, "ref")
+    return out.select("id", c("pts")[0]["x"].alias("x1"), c("pts")[0]["y"].alias("y1"), c("pts")[1]["x"].alias("x2"), c("pts")[1]["y"].alias("y2"))
+
+
+@q("valid_results", "SELECT o_custkey AS id, count(*) AS n FROM orders WHERE o_orderkey % 3 = 0 AND o_custkey % 5 <> 0 GROUP BY 1")
+def valid_results(spark, sf):
+    """Results by customer, some of them empty and some null."""
+    parts = fx.read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("id")).agg(F.collect_list(F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderkey"))).alias("parts"))
+    parts = parts.withColumn("parts", F.when(F.col("id") % 5 != 0, F.col("parts")))
+    return footprint.valid_results(parts, "parts").select("id", F.size("parts").cast("long").alias("n"))

@@ -332,30 +332,43 @@ def line_footprint_rel(in_line: DataFrame, in_raster: DataFrame, max_ln_width: f
 )
 def ground_footprint(in_line: DataFrame, in_footprint: DataFrame, offset: float = 30.0, max_width: bool = True, width_percentile: float = 75.0, merge_group: bool = True, trim_output: bool = True,
                      n_samples: int | None = None, cell: float = 1.0) -> dict[str, DataFrame]:
-    """merged_lines (id, pts, avg_width, max_width, length), untrimmed_footprint and footprint (id, row, col), widths.
+    """merged_lines (id, pts, avg_width, max_width, length), untrimmed_footprint and footprint (id, row, col), widths,
+    perp_lines, footprint_no_holes; without merge_group also split_centerline, inter_points and invalid_splits.
 
-    in_line: (id, pts) with bt_group, which is the id where it is missing; in_footprint: (id, ring) with bt_group or
-    without. Loose ends are trimmed; without merge_group also the primary lines at their vertex, and the others near it.
+    in_line: (id, pts) with bt_group, which is the id where it is missing; in_footprint: (id, ring) or (id, rings), whose
+    holes don't count, with bt_group or without. Where both have a group, widths are measured in polygons of the line's
+    own. Without merge_group lines are merged to ways, split where these meet and grouped anew, and the widths of a group
+    are its largest. Loose ends are trimmed; without merge_group also the primary lines at their vertex, and the others near it.
     n_samples: how many stations to put transects at; None takes the line's own points.
     """
     clean = lines.clean_lines(in_line)
     clean = clean if "bt_group" in clean.columns else clean.withColumn("bt_group", F.col("id"))
+    polygons = in_footprint if "ring" in in_footprint.columns else in_footprint.withColumn("ring", g.remove_holes(F.col("rings"))[0])
+    extra = {"footprint_no_holes": polygons.select("id", "ring")}
     if merge_group:
         merged = topology.merge_lines(clean).withColumn("id", F.xxhash64("bt_group", "part"))
     else:
-        pieces = topology.split_lines(clean.select("id", "pts"), topology.meetings(clean.select("id", "pts")))
-        merged = pieces.join(clean.select("id", "bt_group"), "id").select(F.xxhash64("id", "piece").alias("id"), "bt_group", "pts")
+        ways = topology.line_groups(clean, topology.vertex_table(clean.select("id", "pts"), simplify=1.0))
+        ways = topology.merge_lines(clean.select("id", "pts").join(ways, "id")).select(F.xxhash64("bt_group", "part").alias("id"), "pts")
+        split = topology.split_layers(written(ways, "ways"))
+        pieces = written(split["split_lines"].select(F.xxhash64("id", "piece").alias("id"), "pts"), "split")
+        extra |= {"split_centerline": pieces, "inter_points": split["inter_points"], "invalid_splits": split["invalid_splits"]}
+        regrouped = topology.line_groups(pieces, topology.vertex_table(pieces, simplify=1.0))
+        merged = pieces.join(regrouped, "id")
     merged = written(merged.select("id", "bt_group", "pts"), "merged")  # used five times below
     plain = topology.simplified(merged, 0.1)
     if n_samples:
         t = plain.withColumn("m", g.measured(F.col("pts"))).withColumn("len", g.length(F.col("pts")))
         plain = t.select("id", F.transform(F.sequence(F.lit(0), F.lit(n_samples)), lambda k: g.interpolate(F.col("m"), F.col("len") * k / n_samples)).alias("pts"))
-    widths = footprint.line_widths(plain, footprint.transect_widths(plain, in_footprint, offset), width_percentile)
+    groups = merged.select("id", "bt_group") if "bt_group" in polygons.columns and "bt_group" in in_line.columns else None
+    across = footprint.transect_widths(plain if groups is None else plain.join(groups, "id"), polygons, offset, zeros=False)
+    widths = footprint.line_widths(plain, across, width_percentile)
     sized = merged.join(footprint.imputed(widths, "avg_width", "max_width"), "id")
-    sized = written(footprint.group_max(sized).withColumn("length", g.length(F.col("pts"))), "sized")
+    sized = sized if merge_group else footprint.group_max(sized)
+    sized = written(sized.withColumn("length", g.length(F.col("pts"))), "sized")
     radius = F.col("max_width") * 1.2 / 2 if max_width else F.col("avg_width") / 2
     cells = written(footprint.buffered_cells(sized.withColumn("r", radius), "r", cell), "cells")
-    out = {"merged_lines": sized.select("id", "bt_group", "pts", "avg_width", "max_width", "n_widths", "length"), "untrimmed_footprint": cells, "widths": widths, "footprint": cells}
+    out = {"merged_lines": sized.select("id", "bt_group", "pts", "avg_width", "max_width", "n_widths", "length"), "untrimmed_footprint": cells, "widths": widths, "footprint": cells, "perp_lines": lines.transects(plain, offset)} | extra
     if trim_output:
         network = (clean if merge_group else merged).select("id", "pts")  # loose ends are those of the lines before merging
         table = written(topology.vertex_table(network, simplify=1.0), "vertices")

@@ -52,12 +52,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or one of our own where unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, in local mode only, one of our own where unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         current = spark.sparkContext._jsc.sc().getCheckpointDir()
         path = current.get() if current.isDefined() else None
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="ridgeway-shared-")
         spark.sparkContext.setCheckpointDir(path)
     return path.rstrip("/")

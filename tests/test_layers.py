@@ -206,3 +206,57 @@ def test_rings_and_sides_around_a_bend(spark):
     assert got == {0: ("left", 2), 1: ("right", 2), 2: ("right", 5), 3: ("right", 2), 4: ("left", 2)}  # the last two are beyond the ends
     d = tools.signed_distance(np.array([(0.0, 0), (10, 0), (10, 10)]), np.array([5.0, 5, 13, 12.5, 7.5]), np.array([2.5, -2.5, -4, 5, 5]))
     assert d.tolist() == [2.5, -2.5, -5.0, -2.5, 2.5]
+
+
+def test_split_ways_and_their_layers(spark):
+    seeds = lines_of(spark, (1, P((0, 0), (20, 0))), (2, P((20, 0), (40, 0))), (3, P((10, -20), (10, 20))))
+    rect = spark.createDataFrame([(9, [P((-5, -3), (45, -3), (45, 3), (-5, 3), (-5, -3)), P((5, -1), (6, -1), (6, 1), (5, -1))])], f"id bigint, rings array<{g.LINE}>")
+    out = tools.ground_footprint(seeds, rect, merge_group=False, n_samples=4)
+    assert out["merged_lines"].count() == 4 == out["split_centerline"].count()  # the way 1-2 is cut once, and so is 3
+    assert [(r.x, r.y) for r in out["inter_points"].collect()] == [(10.0, 0.0)] and out["invalid_splits"].count() == 0
+    assert len(out["footprint_no_holes"].first().ring) == 5 and out["perp_lines"].count() > 0
+    of = {r.bt_group: r.max_width for r in out["merged_lines"].collect()}
+    assert all(r.max_width == of[r.bt_group] for r in out["merged_lines"].collect()) and len(of) == 2  # the widths of a way are its largest
+    together = tools.ground_footprint(seeds, rect, merge_group=True, trim_output=False)
+    assert together["merged_lines"].count() == 3 and "inter_points" not in together
+
+
+def test_widths_count_polygons_of_the_own_group_only(spark):
+    line = lines_of(spark, (1, P((0, 5), (5, 5.5), (10, 5)))).withColumn("bt_group", F.lit(7))
+    ring = P((-5, 2), (25, 2), (25, 8), (-5, 8), (-5, 2))
+    for group, n in ((7, 1), (8, 0)):
+        rect = spark.createDataFrame([(9, ring, group)], f"id bigint, ring {g.LINE}, bt_group int")
+        assert tools.ground_footprint(line, rect, trim_output=False)["merged_lines"].first().n_widths == n
+
+
+def test_cells_near_lines_are_those_of_a_plain_version(spark):
+    rng = np.random.default_rng(2)
+    made = [(i, [tuple(map(float, p)) for p in rng.integers(-30, 30, (int(rng.integers(2, 5)), 2))]) for i in range(30)] + [(40, [(0.0, 0.0), (300.0, 300.0)]), (41, [(1.0, 1.0), (1.0, 1.0)])]
+    rows = lines_of(spark, *[(i, P(*pts)) for i, pts in made]).withColumn("r", F.col("id") % 4 + 0.5)
+    for cell in (1.0, 2.5):
+        found = {}
+        for r in footprint.buffered_cells(rows, "r", cell).collect():
+            assert (r.row, r.col) not in found.setdefault(r.id, set())
+            found[r.id].add((r.row, r.col))
+        for i, pts in made[:-1]:
+            radius, want = i % 4 + 0.5, set()
+            xs, ys = zip(*pts)
+            for row in range(int((min(ys) - radius) // cell), int((max(ys) + radius) // cell) + 1):
+                for col in range(int((min(xs) - radius) // cell), int((max(xs) + radius) // cell) + 1):
+                    for a, b in zip(np.array(pts[:-1]), np.array(pts[1:])):
+                        d, p = b - a, np.array([(col + 0.5) * cell, (row + 0.5) * cell])
+                        if d.any() and ((a + d * min(1, max(0, float((p - a) @ d) / float(d @ d))) - p) ** 2).sum() <= radius * radius:
+                            want.add((row, col))
+            assert found.get(i, set()) == want, i
+        assert 41 not in found
+
+
+def test_shared_folder_is_asked_for_off_local_mode(spark):
+    from types import SimpleNamespace
+
+    from ridgeway import session
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://a:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))))
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.shared_dir(far)
