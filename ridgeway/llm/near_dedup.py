@@ -9,11 +9,10 @@
    made from, is held against the others; collisions of the pairs' signatures are counted and pairs at or above the
    match threshold are confirmed on the full sets, exactly. These links give components.
 4. Then pairs of different components within a posting are treated alike, so a group of copies never expands into all
-   its pairs. A posting of more than `block` classes of several components is divided by a second value: partners agree
-   on two within their n - t + 2 rarest. Unrelated classes that hold a common value part there. Classes that stay
-   together in more than `block` are copies of copies, alike but not linked as yet: these families are compared in
-   blocks of bounded size, those between members of the family's main component left out, and a task returns only the
-   links that join what it had not joined yet.
+   its pairs. Postings of more than `block` classes of several components are copies of copies, alike but not linked as
+   yet, or hold a value that many classes share by chance. Their classes form families, compared in blocks of bounded
+   size, those between members of a family's main component left out; a task returns only the links that join what it
+   had not joined yet. Only this step can grow with the square of a family, and none arises from smaller postings.
 
 Links: 100 * intersection >= 75 * union of the sets. With the defaults, a pair at a similarity of exactly 0.75 agrees
 on fewer than 30 of 64 coordinates with a chance of 4 in 10 million; the greater the similarity, the less.
@@ -38,7 +37,7 @@ from ridgeway.session import forget, written
 
 WORDS, K, T, LINK = 5, 64, 30, 75
 #: Classes of a posting that are compared pair by pair at most; classes and shingles of a family's block at most, about.
-BLOCK, FAMILY, FAMILY_SHINGLES = 16, 512, 3_000_000
+BLOCK, FAMILY, FAMILY_SHINGLES = 64, 512, 3_000_000
 _SPREAD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
 _KEPT = 500_000
@@ -163,15 +162,14 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: in
     return out
 
 
-def _postings(reps: DataFrame, t: int) -> tuple[DataFrame, DataFrame]:
-    """(rep, held): the shared values of each class, rarest first, of those that hold t or more; (key, rep, at, n): its prefix posted, n being how many it holds."""
+def _postings(reps: DataFrame, t: int) -> DataFrame:
+    """(key, rep, n): the prefix of each class that holds t shared values or more, posted; n is how many it holds."""
     posts = reps.select("rep", F.explode("sig").alias("v"))
     often = posts.groupBy("v").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
     shared = posts.join(often.hint("shuffle_hash"), "v")
     each = shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("held")).filter(F.size("held") >= t)
-    each = written(each.select("rep", F.col("held.v").alias("held")), "held")
-    prefix = each.select("rep", F.size("held").alias("n"), F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + 1)).alias("at", "key"))
-    return each, prefix.select("key", "rep", "at", "n")
+    prefix = each.select("rep", F.size("held").alias("n"), F.explode(F.slice("held.v", F.lit(1), F.size("held") - t + 1)).alias("key"))
+    return prefix.select("key", "rep", "n")
 
 
 def overlaps(a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
@@ -243,26 +241,19 @@ def _blocks(t: int, link: int):
     return kernel
 
 
-def _across(postings: DataFrame, each: DataFrame, found: DataFrame, t: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _across(postings: DataFrame, found: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
     """(a, b): pairs of classes of different components that share a small posting; (rep, family, component) of classes in full ones."""
-    now = postings.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", "at", F.coalesce("component", "rep").alias("component"))
-
-    def parted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-        mixed = written(rows.join(counts.select("key", (F.col("n") > block).alias("full")).hint("shuffle_hash"), "key"), "mixed")
-        some = mixed.filter("NOT full").select("key", "rep", "component")
-        pairs = some.alias("x").join(some.alias("y"), "key").filter("x.rep < y.rep AND x.component <> y.component")
-        return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")), mixed.filter("full").drop("full")
-
-    pairs, full = parted(now)
-    second = F.posexplode(F.slice("held", F.lit(1), F.size("held") - t + 2)).alias("next", "v")
-    rest = full.join(each, "rep").select("key", "rep", "component", "at", second).filter("next > at")
-    more, full = parted(rest.select(F.xxhash64("key", "v").alias("key"), "rep", F.lit(0).alias("at"), "component"))
-    lead = full.groupBy("key").agg(F.min("rep").alias("lead"))
-    star = full.join(lead, "key").filter("rep <> lead").select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
-    families = connected_components(star).toDF("rep", "family")
-    members = families.join(found.toDF("rep", "component"), "rep", "left").select("rep", "family", F.coalesce("component", "rep").alias("component"))
-    return pairs.union(more).distinct(), written(members, "families")
+    now = postings.join(found.toDF("rep", "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
+    counts = now.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    mixed = written(now.join(counts.select("key", (F.col("n") > block).alias("full")).hint("shuffle_hash"), "key"), "mixed")
+    some, full = mixed.filter("NOT full").select("key", "rep", "component"), mixed.filter("full")
+    pairs = some.alias("x").join(some.alias("y"), "key").filter("x.rep < y.rep AND x.component <> y.component")
+    # Classes of one component are in one family whatever they share, so an edge for each component of a posting is enough.
+    delegates = full.groupBy("key", "component").agg(F.min("rep").alias("rep"))
+    lead = delegates.groupBy("key").agg(F.min("component").alias("lead"))
+    families = connected_components(delegates.join(lead, "key").select(F.col("lead").alias("a"), F.col("component").alias("b")).distinct())
+    members = full.select("rep", "component").distinct().join(families.toDF("component", "family"), "component")
+    return pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct(), written(members.select("rep", "family", "component"), "families")
 
 
 def _family_links(members: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: int, link: int, size: int, shingles: int) -> DataFrame:
@@ -295,15 +286,14 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     some = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
     reps = written(some.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("folded").alias("folded")), "classes")
 
-    each, prefix = _postings(reps, t)
-    prefix = written(prefix, "prefix")
+    prefix = written(_postings(reps, t), "prefix")
     most = F.col("n").cast("long") * (1 << 20) + F.pmod(F.xxhash64("rep"), F.lit(1 << 20))  # the hash breaks ties
     first = prefix.groupBy("key").agg(F.max_by("rep", most).alias("lead"), F.count(F.lit(1)).alias("c")).filter("c > 1").select("key", "lead")
     star = prefix.join(first.hint("shuffle_hash"), "key").filter("rep <> lead").select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
     star = written(star.distinct(), "pairs")
     links = _links(star, reps, rows, words, t, link)
     found = written(connected_components(links), "components")
-    more, members = _across(prefix, each, found, t, block)
+    more, members = _across(prefix, found, block)
     more = written(more.join(star, ["a", "b"], "left_anti"), "pairs")
     late = []
     if more.limit(1).count():
@@ -315,8 +305,8 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
             links = links.union(some_links.select("a", "b"))
         forget(found)
         found = written(connected_components(links), "components")
-    for each_table in (each, prefix, star, more, members):
-        forget(each_table)
+    for done in (prefix, star, more, members):
+        forget(done)
 
     classes = reps.select("digest", "rep").join(found.toDF("rep", "component"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("group"))
     joined = sketch.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
