@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeway.llm.common import texts
+from ridgeway.llm.common import maybe_in, texts
 from ridgeway.operators.components import connected_components
 from ridgeway.session import forget, written
 
@@ -40,7 +40,7 @@ WORDS, K, T, LINK = 5, 64, 30, 75
 BLOCK, FAMILY, FAMILY_SHINGLES = 64, 512, 3_000_000
 _SPREAD, _FOLD = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _S32, _S29 = np.uint64(32), np.uint64(29)
-_KEPT = 500_000
+_KEPT = 100_000
 
 
 class _Hashes(dict):
@@ -137,7 +137,11 @@ def linked(a: np.ndarray, b: np.ndarray, link: int = LINK) -> bool:
     least, most = sorted((len(a), len(b)))
     if 100 * least < link * most:
         return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
+    if len(b) < len(a):
+        a, b = b, a
+    if not len(a):
+        return False
+    both = np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a)
     return 100 * both >= link * (least + most - both)
 
 
@@ -149,11 +153,13 @@ def _confirmed(batches: Iterator[pa.RecordBatch], link: int) -> Iterator[pa.Reco
 
 def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: int, link: int) -> DataFrame:
     """Those of the distinct pairs (a, b) of classes that are linked. Texts are shingled again only where signatures agree."""
-    folded = reps.select("rep", "folded")
+    ends = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep")))
+    folded = maybe_in(reps.select("rep", "folded"), "rep", ends)
     both = pairs.join(folded.toDF("a", "fa"), "a").join(folded.toDF("b", "fb"), "b").select("a", "b", "fa", "fb")
     near = written(both.mapInArrow(lambda it: _agreeing(it, t), "a bigint, b bigint").distinct(), "near")
     needed = near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct()
-    asked = rows.select(F.col("doc_id").alias("rep"), "text").join(needed, "rep")
+    # Only texts that may be asked for are dealt out.
+    asked = maybe_in(rows.select(F.col("doc_id").alias("rep"), "text"), "rep", needed).join(needed, "rep")
     sets = written(asked.mapInArrow(lambda it: _sets(it, words), "rep bigint, shingles binary"), "sets")
     full = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
     out = written(full.mapInArrow(lambda it: _confirmed(it, link), "a bigint, b bigint"), "links")
@@ -260,7 +266,7 @@ def _family_links(members: DataFrame, reps: DataFrame, rows: DataFrame, words: i
     """(a, b): links enough for the components within each family."""
     parts = members.groupBy("family", "component").agg(F.count(F.lit(1)).alias("n")).groupBy("family").agg(F.max_by("component", "n").alias("main"))
     placed = members.join(parts, "family").withColumn("own", F.col("component") == F.col("main"))
-    placed = placed.join(reps.select("rep", "n_shingles", "sig"), "rep")
+    placed = placed.join(maybe_in(reps.select("rep", "n_shingles", "sig"), "rep", members.select("rep")), "rep")
     room = placed.groupBy("family", "own").agg(F.greatest(F.lit(1), F.ceil(F.count(F.lit(1)) / (0.9 * size)), F.ceil(F.sum("n_shingles") / shingles)).cast("int").alias("blocks"))
     # Blocks of the main component are numbered below zero and never meet each other.
     number = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
@@ -269,7 +275,8 @@ def _family_links(members: DataFrame, reps: DataFrame, rows: DataFrame, words: i
     placed = written(placed.join(spans, "family").drop("blocks", "n_shingles", "main", "own"), "placed")
     # A block of others meets all blocks; one of the main component meets those of others.
     meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mine"), F.col("others") - 1))
-    asked = rows.select(F.col("doc_id").alias("rep"), "text").join(placed.select("rep").distinct(), "rep")
+    needed = placed.select("rep").distinct()
+    asked = maybe_in(rows.select(F.col("doc_id").alias("rep"), "text"), "rep", needed).join(needed, "rep")
     sets = written(asked.mapInArrow(lambda it: _sets(it, words), "rep bigint, shingles binary"), "sets")
     tasks = placed.join(sets, "rep").select("*", F.explode(meets).alias("other"))
     tasks = tasks.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "shingles")
