@@ -46,9 +46,10 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent).as_posix())
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
-    # Long texts: bound an Arrow batch by rows as well as bytes, unless the session says otherwise.
-    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
+    # Long texts: lower Spark's own bounds of an Arrow batch, unless the session says otherwise.
+    for what, usual, ours in (("maxRecordsPerBatch", "10000", "1024"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        if spark.conf.get(f"spark.sql.execution.arrow.{what}") == usual:
+            spark.conf.set(f"spark.sql.execution.arrow.{what}", ours)
 
 
 def shared_dir(spark: SparkSession) -> str:
