@@ -93,16 +93,17 @@ def fit(docs: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int =
     for text in docs:
         words = text.split()
         if not words:
-            rows.append((np.zeros(0, np.int64), np.zeros(0, np.float32)))
+            rows.append((np.zeros(0, np.uint8), np.zeros(0, np.uint8)))
             continue
         number = {w: i for i, w in enumerate(dict.fromkeys(words))}
         order = np.fromiter(map(number.__getitem__, words), np.int64, len(words))
         owner, bucket = word_features(list(number), buckets, ngrams)
         pairs = pair_buckets(word_hashes(list(number))[order], buckets)
-        times = np.concatenate([np.bincount(order)[owner], np.ones(len(pairs))]).astype(np.float32)
+        times = np.concatenate([np.bincount(order)[owner], np.ones(len(pairs), np.int64)])
         at, back = np.unique(np.concatenate([bucket, pairs]), return_inverse=True)
-        weight = np.bincount(back, weights=times).astype(np.float32)
-        rows.append((at, weight / weight.sum()))
+        counts = np.bincount(back, weights=times)
+        # All rows stay in memory for the epochs: mostly three bytes a feature, as steps between buckets and counts.
+        rows.append(tuple(x.astype(np.min_scalar_type(int(x.max()))) for x in (np.diff(at, prepend=0), counts)))
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / dim, 1 / dim, (buckets, dim)).astype(np.float32)
     layer = np.zeros((dim, 2), np.float32)
@@ -110,11 +111,14 @@ def fit(docs: list[str], labels: np.ndarray, buckets: int = BUCKETS, dim: int =
     steps, done = epochs * len(docs), 0
     for _ in range(epochs):
         for i in rng.permutation(len(docs)):
-            at, weight = rows[i]
+            steps_of, counts = rows[i]
             step = rate * (1 - done / steps)
             done += 1
-            if not at.size:
+            if not counts.size:
                 continue
+            at = np.cumsum(steps_of, dtype=np.int64)
+            weight = counts.astype(np.float32)
+            weight /= weight.sum()
             hidden = weight @ vectors[at]
             z = hidden @ layer + bias
             p = np.exp(z - z.max())
