@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeway.llm.common import texts
+from ridgeway.llm.common import released, texts
 
 BUCKETS, DIM, EPOCHS, RATE, MAX_ROWS, NGRAMS, SEED = 1 << 17, 8, 4, 1.5, 12000, (3, 4, 5), 17
 _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x100000001B3)
@@ -34,6 +34,8 @@ _MIX, _STEP = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0x100000001B3)
 _OPEN, _CLOSE = 0x110000, 0x110001
 #: Words whose sums a worker keeps.
 _KEPT = 400_000
+#: Characters of texts that are cut into words at a time.
+_CHARS = 1 << 20
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -158,6 +160,16 @@ class Scorer:
         self.hashes = np.concatenate([self.hashes, word_hashes(words)])
 
     def logits(self, docs: list[str]) -> list[float]:
+        out, some, size = [], [], 0
+        for doc in docs:
+            some.append(doc)
+            size += len(doc)
+            if size > _CHARS:
+                out += self._logits(some)
+                some, size = [], 0
+        return out + self._logits(some)
+
+    def _logits(self, docs: list[str]) -> list[float]:
         each = [x.split() for x in docs]
         if len(self.known) > _KEPT:
             self.clear()
@@ -206,7 +218,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if len(frame):
             yield pd.DataFrame({"model": [_packed(*fit(frame["text"].tolist(), frame["label"].to_numpy(), buckets, ngrams=ngrams))]})
 
-    got = sample.select("doc_id", "text", "label").repartition(1).mapInPandas(kernel, "model binary").collect()
+    got = sample.select("doc_id", "text", "label").repartition(1).mapInPandas(lambda it: released(kernel(it)), "model binary").collect()
     packed = bytes(got[0]["model"]) if got else _packed(np.zeros(buckets, np.float32), 0.0)
     return spark.sparkContext.broadcast(packed)
 
@@ -215,7 +227,7 @@ def score(df: DataFrame, model, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, score) for each row of df."""
     rows = texts(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(lambda it: _score(it, model, ngrams), f"doc_id {kind}, score double")
+    return rows.mapInArrow(lambda it: released(_score(it, model, ngrams)), f"doc_id {kind}, score double")
 
 
 def held_out(id_col="doc_id"):
@@ -244,4 +256,4 @@ def keep_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max
             keep = 1 / (1 + np.exp(-np.clip(z, -500, 500))) >= threshold
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(kernel, fields)
+    return docs.mapInArrow(lambda it: released(kernel(it)), fields)

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,3 +50,13 @@ def maybe_in(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     byte = F.conv(F.hex(F.substring("__bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
     joined = df.withColumn("__chunk", F.floor(place / CHUNK)).join(F.broadcast(bits), "__chunk")
     return joined.filter(F.getbit(byte, F.pmod(at, F.lit(8)).cast("int")) == 1).select(*df.columns)
+
+
+def released(results: Iterator) -> Iterator:
+    """The results of a kernel; then what it has freed goes back to the system, since idle workers live on."""
+    yield from results
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeway.llm.common import maybe_in, texts
+from ridgeway.llm.common import maybe_in, released, texts
 from ridgeway.operators.components import connected_components
 from ridgeway.session import forget, written
 
@@ -160,9 +160,9 @@ def _links(pairs: DataFrame, reps: DataFrame, rows: DataFrame, words: int, t: in
     needed = near.select(F.col("a").alias("rep")).union(near.select(F.col("b").alias("rep"))).distinct()
     # Only texts that may be asked for are dealt out.
     asked = maybe_in(rows.select(F.col("doc_id").alias("rep"), "text"), "rep", needed).join(needed, "rep")
-    sets = written(asked.mapInArrow(lambda it: _sets(it, words), "rep bigint, shingles binary"), "sets")
+    sets = written(asked.mapInArrow(lambda it: released(_sets(it, words)), "rep bigint, shingles binary"), "sets")
     full = near.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-    out = written(full.mapInArrow(lambda it: _confirmed(it, link), "a bigint, b bigint"), "links")
+    out = written(full.mapInArrow(lambda it: released(_confirmed(it, link)), "a bigint, b bigint"), "links")
     forget(near)
     forget(sets)
     return out
@@ -277,7 +277,7 @@ def _family_links(members: DataFrame, reps: DataFrame, rows: DataFrame, words: i
     meets = F.when(F.col("block") < 0, F.sequence(F.lit(0), F.col("others") - 1)).otherwise(F.sequence(-F.col("mine"), F.col("others") - 1))
     needed = placed.select("rep").distinct()
     asked = maybe_in(rows.select(F.col("doc_id").alias("rep"), "text"), "rep", needed).join(needed, "rep")
-    sets = written(asked.mapInArrow(lambda it: _sets(it, words), "rep bigint, shingles binary"), "sets")
+    sets = written(asked.mapInArrow(lambda it: released(_sets(it, words)), "rep bigint, shingles binary"), "sets")
     tasks = placed.join(sets, "rep").select("*", F.explode(meets).alias("other"))
     tasks = tasks.select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "rep", "component", "sig", "shingles")
     return written(tasks.groupBy("family", "i", "j").applyInPandas(_blocks(t, link), "a bigint, b bigint"), "links")
@@ -289,7 +289,7 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     block: the classes of a posting that are compared pair by pair at most; family: those of a block of a family.
     """
     rows = texts(df, id_col, text_col).withColumn("doc_id", F.col("doc_id").cast("long"))
-    sketch = written(rows.mapInArrow(lambda it: _sketch(it, words, k), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>, folded binary"), "sketch")
+    sketch = written(rows.mapInArrow(lambda it: released(_sketch(it, words, k)), "doc_id bigint, n_shingles bigint, digest binary, sig array<bigint>, folded binary"), "sketch")
     some = sketch.filter("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("digest")
     reps = written(some.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("sig").alias("sig"), F.first("folded").alias("folded")), "classes")
 
