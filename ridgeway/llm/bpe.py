@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridgeway.llm.common import texts
+from ridgeway.llm.common import released, texts
 
 #: The pattern that splits text before the merges of public byte-level rank files.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -179,8 +179,8 @@ def pieces(long_texts: DataFrame, chunk: int, overlap: int, pattern: str = PATTE
     """(key, start, part): the long texts cut at resynchronised boundaries. Rows that repeat give the same pieces."""
     keyed = long_texts.select(F.struct("doc_id", F.md5("text").alias("h")).alias("key"), "text")
     kind = keyed.schema["key"].dataType.simpleString()
-    parts = keyed.mapInArrow(lambda it: _chunked(it, chunk, overlap), f"key {kind}, k bigint, part string, last boolean")
-    edges = parts.mapInArrow(lambda it: _edges(it, chunk, overlap, pattern), f"key {kind}, k bigint, head binary, tail binary")
+    parts = keyed.mapInArrow(lambda it: released(_chunked(it, chunk, overlap)), f"key {kind}, k bigint, part string, last boolean")
+    edges = parts.mapInArrow(lambda it: released(_edges(it, chunk, overlap, pattern)), f"key {kind}, k bigint, head binary, tail binary")
     one = edges.groupBy("key", "k").agg(F.min("head").alias("head"), F.min("tail").alias("tail"))
     cuts = (
         one.select("key", (F.col("k") + 1).alias("k"), "tail")
@@ -191,7 +191,7 @@ def pieces(long_texts: DataFrame, chunk: int, overlap: int, pattern: str = PATTE
         .groupBy("key")
         .agg(F.array_sort(F.collect_set("cut")).alias("cuts"))
     )
-    return keyed.join(cuts, "key", "left").select("key", "text", "cuts").mapInArrow(_cut_up, f"key {kind}, start bigint, part string")
+    return keyed.join(cuts, "key", "left").select("key", "text", "cuts").mapInArrow(lambda it: released(_cut_up(it)), f"key {kind}, start bigint, part string")
 
 
 def encode(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32768, overlap: int = 1024, pattern: str = PATTERN) -> DataFrame:
@@ -200,14 +200,14 @@ def encode(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text",
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = F.char_length("text")
     short = rows.filter(size <= chunk).select("doc_id", F.col("text").alias("part"))
-    short = short.mapInArrow(lambda it: _encode(it, vocab, pattern), f"doc_id {kind}, ids binary")
+    short = short.mapInArrow(lambda it: released(_encode(it, vocab, pattern)), f"doc_id {kind}, ids binary")
     return short.unionByName(_long_ids(rows.filter(size > chunk), vocab, chunk, overlap, pattern))
 
 
 def _long_ids(rows: DataFrame, vocab, chunk: int, overlap: int, pattern: str) -> DataFrame:
     cut = pieces(rows, chunk, overlap, pattern)
     kind = cut.schema["key"].dataType.simpleString()
-    ids = cut.repartition("key", "start").mapInArrow(lambda it: _encode(it, vocab, pattern), f"key {kind}, start bigint, ids binary")
+    ids = cut.repartition("key", "start").mapInArrow(lambda it: released(_encode(it, vocab, pattern)), f"key {kind}, start bigint, ids binary")
     in_order = F.transform(F.array_sort(F.collect_set(F.struct("start", "ids"))), lambda x: x["ids"])
     whole = ids.groupBy("key").agg(
         F.aggregate(in_order, F.lit(b""), lambda a, x: F.concat(a, x)).alias("ids"), F.count(F.when(F.col("start") == 0, 1)).alias("copies")
@@ -227,7 +227,7 @@ def token_counts(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "
     rows = texts(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = F.char_length("text")
-    short = rows.filter(size <= chunk).mapInArrow(lambda it: _counted(it, vocab, pattern), f"doc_id {kind}, n_tokens bigint")
+    short = rows.filter(size <= chunk).mapInArrow(lambda it: released(_counted(it, vocab, pattern)), f"doc_id {kind}, n_tokens bigint")
     long_ids = _long_ids(rows.filter(size > chunk), vocab, chunk, overlap, pattern)
     return short.unionByName(long_ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens")))
 
@@ -235,7 +235,7 @@ def token_counts(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "
 def decode(df: DataFrame, vocab, pattern: str = PATTERN) -> DataFrame:
     """df with `decoded`, the bytes that its column `ids` stands for."""
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.mapInArrow(lambda it: _decode(it, vocab, pattern), f"{kinds}, decoded binary")
+    return df.mapInArrow(lambda it: released(_decode(it, vocab, pattern)), f"{kinds}, decoded binary")
 
 
 def round_trip(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "text", chunk: int = 32768, overlap: int = 1024, pattern: str = PATTERN) -> DataFrame:
@@ -247,7 +247,7 @@ def round_trip(df: DataFrame, vocab, id_col: str = "doc_id", text_col: str = "te
     kind = rows.schema["doc_id"].dataType.simpleString()
     size = F.char_length("text")
     schema = f"doc_id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
-    short = rows.filter(size <= chunk).mapInArrow(lambda it: _report(it, vocab, pattern), schema)
+    short = rows.filter(size <= chunk).mapInArrow(lambda it: released(_report(it, vocab, pattern)), schema)
     long_ids = decode(_long_ids(rows.filter(size > chunk), vocab, chunk, overlap, pattern), vocab, pattern)
     long_report = long_ids.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")

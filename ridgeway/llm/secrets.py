@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ridgeway.llm.common import texts
+from ridgeway.llm.common import released, texts
 
 #: In the order that breaks ties of start. The first three are the base kinds.
 KINDS = ("assign", "access", "hex", "pem", "jwt", "key64", "keyhex")
@@ -248,12 +248,12 @@ def scan_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """(doc_id, spans array<struct<kind,start,end,structure>>), a row for each row of df. No shuffle."""
     rows = texts(df, id_col, text_col)
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(_scan, f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,structure:string>>")
+    return rows.mapInArrow(lambda it: released(_scan(it)), f"doc_id {kind}, spans array<struct<kind:string,start:bigint,end:bigint,structure:string>>")
 
 
 def redact_secrets(df: DataFrame) -> DataFrame:
     """df with the secrets in its column text masked; every row and column stays."""
-    return df.mapInArrow(_redact, df.schema)
+    return df.mapInArrow(lambda it: released(_redact(it)), df.schema)
 
 
 def span_digest(df: DataFrame) -> DataFrame:
