@@ -260,3 +260,17 @@ def test_shared_folder_is_asked_for_off_local_mode(spark):
     far = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://a:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none))))
     with pytest.raises(ValueError, match="checkpoint"):
         session.shared_dir(far)
+
+
+def test_dissolved_cells_carry_their_group_instead_of_a_join(spark, small):
+    from ridgeway.registry import registered
+
+    rows = spark.createDataFrame([(1, P((0, 0), (3, 0)), 1.0, 7), (2, P((1, 0), (4, 0)), 1.0, 7), (3, P((0, 9), (2, 9)), 1.0, 8)], f"id bigint, pts {g.LINE}, r double, grp bigint")
+    cells = footprint.buffered_cells(rows, "r", keep=("grp",))
+    assert {(r.id, r.grp) for r in cells.collect()} == {(1, 7), (2, 7), (3, 8)}
+    first = {(r.grp, r.row, r.col): r.id for r in footprint.dissolve_cells(cells, "grp", "id").collect()}
+    assert first.keys() == {tuple(r) for r in footprint.dissolve_cells(cells, "grp").collect()}
+    assert first[7, 0, 0] == 1 and first[7, 0, 4] == 2 and {v for k, v in first.items() if k[0] == 8} == {3}
+    # There are hundreds of cells a line, which no estimate knows: nothing above them may be a join, which could broadcast them.
+    plan = registered()["dissolve"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan[: plan.index("MapInArrow")]
