@@ -172,7 +172,7 @@ def clip(cells: DataFrame, lines: DataFrame, buffer: float, size: float = 32.0)
     )
     c = F.col
     near = g.segment_distance2(c("x"), c("y"), c("x1"), c("y1"), c("x2"), c("y2")) <= buffer * buffer
-    met = grid_join(a, cells.select("row", "col", "x", "y", "h"), ["bx0", "by0", "bx1", "by1"], ["x", "y", "x", "y"], size, near)
+    met = grid_join(a, cells.select("row", "col", "x", "y", "h"), ["bx0", "by0", "bx1", "by1"], ["x", "y", "x", "y"], size, near, sparse=True)
     return met.drop("bx0", "by0", "bx1", "by1")
 
 
@@ -180,7 +180,7 @@ def clip_polygons(cells: DataFrame, rectangles: DataFrame, ring: Column, size: f
     """(id, row, col, x, y, h): the cells whose centres are inside each polygon; rectangles has its bounds x0, y0, x1, y1."""
     a = rectangles.withColumn("ring", ring)
     inside = g.in_ring(F.col("ring"), F.col("x"), F.col("y"))
-    met = grid_join(a, cells.select("row", "col", "x", "y", "h"), ["x0", "y0", "x1", "y1"], ["x", "y", "x", "y"], size, inside)
+    met = grid_join(a, cells.select("row", "col", "x", "y", "h"), ["x0", "y0", "x1", "y1"], ["x", "y", "x", "y"], size, inside, sparse=True)
     return met.select("id", "row", "col", "x", "y", "h")
 
 
