@@ -274,3 +274,39 @@ def test_dissolved_cells_carry_their_group_instead_of_a_join(spark, small):
     # There are hundreds of cells a line, which no estimate knows: nothing above them may be a join, which could broadcast them.
     plan = registered()["dissolve"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "Join" not in plan[: plan.index("MapInArrow")]
+
+
+def test_no_side_of_a_grid_join_is_broadcast_as_a_whole(spark, small):
+    from ridgeway.registry import registered
+
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "10m")
+    try:
+        for name in ("vertex_in_polygon", "widths", "group_max", "containing_polygon", "clip_polygons"):
+            plan = registered()[name](spark, small)._jdf.queryExecution().executedPlan().toString()
+            joins = [x for x in plan.splitlines() if "hx#" in x and "Join" in x]
+            assert joins and all("SortMergeJoin" in x for x in joins), name
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_a_sparse_grid_join_gives_the_same_pairs(spark):
+    box = spark.createDataFrame([(i, 7.0 * i, 0.0, 7.0 * i + 9, 9.0) for i in range(20)], "id int, x0 double, y0 double, x1 double, y1 double")
+    cell = spark.createDataFrame([(10 * i, 4.0 + 20 * i, 4.0) for i in range(3)] + [(99, -50.0, 4.0)], "c int, x double, y double")
+    got = [sorted(tuple(r) for r in spatial_join.grid_join(box, cell, ["x0", "y0", "x1", "y1"], ["x", "y", "x", "y"], 8.0, sparse=s).select("id", "c").collect()) for s in (False, True)]
+    assert got[0] == got[1] == sorted((i, 10 * k) for i in range(20) for k in range(3) if 7 * i <= 4 + 20 * k <= 7 * i + 9)
+
+
+def test_stations_as_an_array_are_those_of_densified_lines(spark):
+    from ridgeway.operators import lines
+
+    rows = lines_of(spark, (1, P((0, 0), (2.5, 0), (2.5, 0), (3, 4))), (2, P((0, 0), (0.5, 0))), (3, P((1, 1))))
+    whole = {r.id: r.pts for r in lines.densify(rows).collect()}
+    dense = {r.id: r.p for r in rows.select("id", lines.dense(F.col("pts")).alias("p")).collect()}
+    assert dense.pop(3) == [] and dense == whole
+    ring = spark.createDataFrame([(7, P((0, 0), (12, 0), (12, 9), (9, 9), (9, 3), (3, 3), (3, 9), (0, 9), (0, 0)))], f"id bigint, ring {g.LINE}")
+    across = lines_of(spark, (1, P((1, 8), (11, 8))), (2, P((1, 2), (11, 2))))  # the first leaves the ring between its ends
+    found = footprint.containing_polygon(across, ring)
+    assert [tuple(r) for r in found.collect()] == [(2, 7)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Aggregate") == 1  # stations are made after the join, without a shuffle of their own
