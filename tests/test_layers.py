@@ -310,3 +310,25 @@ def test_stations_as_an_array_are_those_of_densified_lines(spark):
     assert [tuple(r) for r in found.collect()] == [(2, 7)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Aggregate") == 1  # stations are made after the join, without a shuffle of their own
+
+
+def test_features_get_their_cells_as_arrays_dealt_by_number(spark):
+    import pandas as pd
+
+    feature = lines_of(spark, (1, P((1, 1), (6, 1))), (2, P((3, 3), (3, 9))), (3, P((900, 900), (910, 900))))
+    raster_cells = spark.createDataFrame([(r, c, c + 0.5, r + 0.5, None if r == c else float(r)) for r in range(10) for c in range(10)], "row long, col long, x double, y double, h double")
+    met = tools.near_cells(feature, raster_cells, 2.0)
+    plain = {i: {(r.row, r.col, r.h) for r in met.filter(F.col("id") == i).collect()} for i in (1, 2)}
+    assert met.filter("id = 3").count() == 0 and all(plain.values())
+
+    def run(one):
+        return pd.DataFrame({"id": one["id"], "n": len(one["pts"]), "row": one["row"], "col": one["col"], "h": one["h"]})
+
+    out = tools.per_feature(met, ["id"], run, "id bigint, n int, row bigint, col bigint, h double")
+    got = {}
+    for r in out.collect():
+        assert r.n == 2
+        got.setdefault(r.id, set()).add((r.row, r.col, None if r.h is None or r.h != r.h else r.h))
+    assert got == plain
+    # Neither the join nor the kernels may be left to the few tasks that their bytes ask for.
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 3
