@@ -1,10 +1,12 @@
 """Plans and kernels that larger tables need: what every candidate pair pays, and that no step is one task's or one row's."""
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ridgeway.functions import geom as g
 from ridgeway.operators import topology
+from ridgeway.plans import tools
 
 P = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
 
@@ -17,3 +19,22 @@ def test_meetings_test_bounds_only_in_the_join(spark):
     found = {(r.a, r.b): ([(p.x, p.y) for p in r.points], [(p.x, p.y) for p in r.overlaps]) for r in met.collect()}
     assert found[1, 4] == ([(10, 3), (10, 6)], []) and found[1, 3] == ([], [(5, 0)]) and found[1, 5] == ([(10, 0)], [])
     assert found[1, 6] == ([], [(2.5, 0), (7.5, 0)]) and found[2, 4] == ([(5, 3)], []) and found[2, 6] == ([(5, 1)], [])
+
+
+def test_blocks_hold_the_cells_that_are_near(spark):
+    r = np.random.default_rng(5)
+    raster = spark.createDataFrame([(y, x, x + 0.5, y + 0.5, None if (x + y) % 7 == 0 else float(x * y)) for y in range(-5, 70) for x in range(-5, 40)], "row int, col long, x double, y double, h float")
+    rows = [(i, P(*r.integers(-20, 90, (int(r.integers(2, 5)), 2)))) for i in range(12)] + [(90, P((900, 900), (910, 900))), (91, P((3, 3), (3, 3))), (92, P((4, 4))), (93, None), (94, [])]
+    features = spark.createDataFrame(rows, f"id bigint, pts {g.LINE}").withColumn("name", F.concat(F.lit("n"), "id"))
+    plain = {(x.id, x.row, x.col, x.h) for x in tools.near_cells(features, raster, 9.0).collect()}
+    met = tools.near_blocks(features, raster, 9.0)
+    held = met.select("id", "name", F.explode(F.arrays_zip("row", "col", "h")).alias("c")).collect()
+    assert len(held) == len(plain) > 1000 and {x.name for x in held} == {f"n{x[0]}" for x in plain}
+    assert {(x.id, x.c.row, x.c.col, None if np.isnan(x.c.h) else x.c.h) for x in held} == plain
+    assert met.count() < len(plain) / 50  # a row for a block, not for a cell
+
+    def run(one):
+        return pd.DataFrame({"id": [one["id"]], "name": [one["name"]], "n": [len(one["row"])], "h": [float(np.nansum(one["h"]))]})
+
+    done = tools.per_feature(met, ["id"], run, "id bigint, name string, n int, h double").collect()
+    assert {x.id: x.n for x in done} == {i: sum(1 for x in plain if x[0] == i) for i in {x[0] for x in plain}}
