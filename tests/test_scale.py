@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ridgeway.functions import geom as g
-from ridgeway.operators import topology
+from ridgeway.operators import components, topology
 from ridgeway.plans import tools
 
 P = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
@@ -38,3 +38,43 @@ def test_blocks_hold_the_cells_that_are_near(spark):
 
     done = tools.per_feature(met, ["id"], run, "id bigint, name string, n int, h double").collect()
     assert {x.id: x.n for x in done} == {i: sum(1 for x in plain if x[0] == i) for i in {x[0] for x in plain}}
+
+
+def test_components_by_contraction(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    chain, star = [(i, i + 1) for i in range(1000, 1400)], [(5000, 5001 + i) for i in range(300)]
+    edges = [(int(x), int(y)) for x, y in r.integers(0, 900, (400, 2))] + chain + chain[:9] + star + [(7, 7), (-9, 3), (2**62, -(2**61)), (None, 4), (6, None)]
+    parent = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        if x is not None and y is not None and x != y:
+            x, y = root(x), root(y)
+            parent[max(x, y)] = min(x, y)
+    want = {x: root(x) for x in parent}
+    df = spark.createDataFrame(edges, "a bigint, b bigint")
+    for few in (1 << 21, 40, 0):
+        monkeypatch.setattr(components, "FEW", few)
+        assert {x.id: x.component for x in components.connected_components(df).collect()} == want
+    assert components.connected_components(df.limit(0)).count() == 0
+
+
+def test_components_of_a_small_table_take_no_rounds(spark):
+    chain = spark.range(3000).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("components", "components")
+    assert components.connected_components(chain).filter("component = 0").count() == 3001
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup("components")) < 15
+
+
+def test_simplified_leaves_short_lines(spark, monkeypatch):
+    rows = [(1, P((0, 0), (5, 5))), (2, P((0, 0), (1, 0.1), (2, 0), (9, 9))), (3, []), (4, None), (5, P((1, 1)))]
+    df = spark.createDataFrame(rows, f"id bigint, pts {g.LINE}")
+    found = {r.id: [(p.x, p.y) for p in r.pts] for r in topology.simplified(df, 1.0).collect()}
+    assert found == {1: [(0, 0), (5, 5)], 2: [(0, 0), (2, 0), (9, 9)], 3: [], 4: [], 5: [(1, 1)]}
+    assert "MapInArrow" in topology.simplified(df, 1.0)._jdf.queryExecution().toString()  # no row of Python objects for a line
