@@ -78,3 +78,18 @@ def test_simplified_leaves_short_lines(spark, monkeypatch):
     found = {r.id: [(p.x, p.y) for p in r.pts] for r in topology.simplified(df, 1.0).collect()}
     assert found == {1: [(0, 0), (5, 5)], 2: [(0, 0), (2, 0), (9, 9)], 3: [], 4: [], 5: [(1, 1)]}
     assert "MapInArrow" in topology.simplified(df, 1.0)._jdf.queryExecution().toString()  # no row of Python objects for a line
+
+
+def test_merging_takes_groups_in_batches(spark):
+    r = np.random.default_rng(8)
+    rows, want = [], {}
+    for group in range(300):
+        parts = [np.cumsum(r.integers(-2, 3, (int(r.integers(2, 4)), 2)), axis=0).astype(float) for _ in range(int(r.integers(1, 6)))]
+        ids = r.permutation(1000)[: len(parts)] + 1000 * group
+        rows += [(group, int(i), P(*p)) for i, p in zip(ids, parts)]
+        want |= {(group, n): [tuple(q) for q in m] for n, m in enumerate(topology.merge_parts([parts[k] for k in np.argsort(ids)]))}
+    rows += [(999, 5, P((1, 1))), (998, 6, P((1, 1), (1, 1))), (997, 7, P((0, 0), (0.5, 0)))]
+    want[997, 0] = [(0, 0), (0.5, 0)]
+    out = topology.merge_lines(spark.createDataFrame(rows, f"bt_group bigint, id bigint, pts {g.LINE}"))
+    assert {(x.bt_group, x.part): [(p.x, p.y) for p in x.pts] for x in out.collect()} == want
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
