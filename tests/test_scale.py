@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ridgeway.functions import geom as g
-from ridgeway.operators import components, topology
+from ridgeway.operators import components, footprint, topology
 from ridgeway.plans import tools
 
 P = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
@@ -93,3 +93,15 @@ def test_merging_takes_groups_in_batches(spark):
     out = topology.merge_lines(spark.createDataFrame(rows, f"bt_group bigint, id bigint, pts {g.LINE}"))
     assert {(x.bt_group, x.part): [(p.x, p.y) for p in x.pts] for x in out.collect()} == want
     assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
+
+
+def test_left_over_cells_keep_the_part_with_the_middle(spark):
+    square = [(r, c) for r in range(-3, 4) for c in range(9)]
+    wall = [(r, 4) for r in range(-9, 9)]  # of another footprint, partly outside
+    rows = [(i, [r for r, _ in square], [c for _, c in square], *([[r for r, _ in wall], [c for _, c in wall], *mid] if mid else [None] * 4)) for i, mid in ((1, (0, 7)), (2, (0, 1)), (3, None), (4, (0, 4)), (5, (99, 0)), (6, (None, None)))]
+    df = spark.createDataFrame(rows, "id bigint, row array<bigint>, col array<bigint>, grow array<bigint>, gcol array<bigint>, mr bigint, mc bigint").coalesce(1)
+    got = {}
+    for x in df.mapInArrow(footprint._left_over, "id bigint, row bigint, col bigint").collect():
+        got.setdefault(x.id, set()).add((x.row, x.col))
+    cut = set(square) - set(wall)
+    assert got == {1: {x for x in cut if x[1] > 4}, 2: {x for x in cut if x[1] < 4}, 3: set(square), 4: cut, 5: cut, 6: cut}
