@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from ridgeway.functions import geom as g
-from ridgeway.operators import components, footprint, topology
+from ridgeway.operators import components, footprint, kernels, profile, topology
 from ridgeway.plans import tools
 
 P = lambda *p: [{"x": float(x), "y": float(y)} for x, y in p]
@@ -105,3 +105,52 @@ def test_left_over_cells_keep_the_part_with_the_middle(spark):
         got.setdefault(x.id, set()).add((x.row, x.col))
     cut = set(square) - set(wall)
     assert got == {1: {x for x in cut if x[1] > 4}, 2: {x for x in cut if x[1] < 4}, 3: set(square), 4: cut, 5: cut, 6: cut}
+
+
+def _raster(spark, height, width):
+    return spark.createDataFrame([(y, x, x + 0.5, y + 0.5, None if (x + y) % 7 == 0 else float((x * 31 + y * 17) % 23)) for y in range(-5, height) for x in range(-5, width) if (x // 9 + y // 5) % 11], "row int, col long, x double, y double, h double")
+
+
+def test_lines_of_a_tile_share_its_cells(spark):
+    raster = _raster(spark, 60, 150)
+    r = np.random.default_rng(6)
+    rows = [(i, P(*r.integers(-20, 90, (int(r.integers(2, 5)), 2)))) for i in range(12)] + [(90, P((900, 900), (910, 900))), (91, P((-90, 10), (300, 30))), (92, P((140, 10), (60, 20))), (None, P((1, 1), (9, 9)))]
+    features = spark.createDataFrame(rows, f"id bigint, pts {g.LINE}")
+    plain = {(x.id, x.row, x.col, x.h) for x in tools.near_cells(features.filter("id IS NOT NULL"), raster, 9.0).collect()}
+    dealt = tools.in_tiles(tools.near_raster(features, raster, 9.0, 1.0), 9.0, 1.0)
+    assert {x.id for x in dealt.filter("tr IS NULL").collect()} == {91} and dealt.filter("id = 90").count() == 0
+
+    def run(frame, tile):
+        out = []
+        for i, lx, ly in zip(frame["id"], frame["lx"], frame["ly"]):
+            w = tile.window(np.stack([lx, ly], 1), 9.0)
+            if w is not None:
+                r, c = np.nonzero(~np.isnan(w.h))
+                out.append(pd.DataFrame({"id": i, "row": r + w.r0, "col": c + w.c0, "h": w.h[r, c]}))
+        return pd.concat(out) if out else pd.DataFrame({"id": [], "row": [], "col": [], "h": []})
+
+    met = tools.per_line(dealt, raster, 9.0, run, "id bigint, row bigint, col bigint, h double", 1.0)
+    assert {tuple(x) for x in met.collect()} == {x for x in plain if x[3] is not None}
+    assert {x[0] for x in plain} >= {91, 92}
+
+
+def test_rings_and_thresholds_of_a_line_in_numpy(spark):
+    raster = _raster(spark, 60, 60)
+    r = np.random.default_rng(7)
+    rows = [(i, P(*r.integers(-10, 70, (int(r.integers(2, 6)), 2)))) for i in range(25)] + [(90, P((5, 5), (40, 5))), (91, P((5, 5), (30, 5), (30, 30))), (92, P((-4, 3), (50, 3)))]
+    features = spark.createDataFrame(rows, f"id bigint, pts {g.LINE}").withColumn("pts", g.without_repeats(F.col("pts"))).filter(F.size("pts") >= 2)
+    percentiles = profile.ring_percentiles(profile.ring_cells_along(features, raster), 40.0).cache()
+    want = {(x.id, x.side, x.ring, x.n, x.p) for x in percentiles.collect()}
+    cuts = {x.id: tuple(x)[1:] for x in profile.thresholds(profile.profile(percentiles)).collect()}
+    out = tools.line_footprint_rel(features, raster, percentile=40.0)
+    assert {tuple(x) for x in out["line_percentile"].collect()} == want and len(want) > 300
+    assert {x.id: tuple(x)[1:] for x in out["thresholds"].collect()} == {i: v for i, v in cuts.items() if v[-1] is not None}
+    assert "FlatMapCoGroupsInPandas" in out["footprint"]._jdf.queryExecution().toString()  # no row for a line and a cell
+
+
+def test_costs_within_a_limit(spark):
+    r = np.random.default_rng(4)
+    cost = np.where(r.random((30, 40)) < 0.1, np.nan, 1 + r.random((30, 40)))
+    starts = r.random(cost.shape) < 0.01
+    whole, some = kernels.accumulate(cost, starts, entered_only=True), kernels.accumulate(cost, starts, entered_only=True, within=5.0)
+    assert np.array_equal(some, np.where(whole < 5.0, whole, np.inf)) and np.isinf(some).any() and (whole < 5.0).any()
