@@ -154,3 +154,50 @@ def test_costs_within_a_limit(spark):
     starts = r.random(cost.shape) < 0.01
     whole, some = kernels.accumulate(cost, starts, entered_only=True), kernels.accumulate(cost, starts, entered_only=True, within=5.0)
     assert np.array_equal(some, np.where(whole < 5.0, whole, np.inf)) and np.isinf(some).any() and (whole < 5.0).any()
+
+
+def _cut_alone(rows, cols, a, b):
+    """One footprint cut on a grid of its cells (even places) and the steps between them (odd ones)."""
+    y, x = rows - rows.min(), cols - cols.min()
+    mask = np.zeros((2 * y.max() + 1, 2 * x.max() + 1), bool)
+    mask[2 * y, 2 * x] = True
+    mask[1::2, ::2] = mask[:-1:2, ::2] & mask[2::2, ::2]
+    mask[::2, 1::2] = mask[::2, :-1:2] & mask[::2, 2::2]
+    before = kernels.label4(mask)[2 * y, 2 * x]
+    a, b = (np.array([p[0] - 0.5 - cols.min(), p[1] - 0.5 - rows.min()]) for p in (a, b))
+    d = b - a
+    for step, ex, ey in ((mask[::2, 1::2], 1.0, 0.0), (mask[1::2, ::2], 0.0, 1.0)):
+        py, px = np.nonzero(step)
+        side = lambda x, y: d[0] * (y - a[1]) - d[1] * (x - a[0]) >= 0
+        with np.errstate(divide="ignore", invalid="ignore"):
+            t = ((px - a[0]) * ey - (py - a[1]) * ex) / (d[0] * ey - d[1] * ex)
+        crossed = (side(px, py) != side(px + ex, py + ey)) & (t >= 0) & (t <= 1)
+        step[py[crossed], px[crossed]] = False
+    after = kernels.label4(mask)[2 * y, 2 * x]
+    if len(np.unique(after)) != len(np.unique(before)) + 1:
+        return np.ones(len(rows), bool)
+    split = [c for c in np.unique(before) if len(np.unique(after[before == c])) == 2][0]
+    parts, sizes = np.unique(after[before == split], return_counts=True)
+    return after != parts[sizes.argmin()]
+
+
+def test_footprints_of_a_batch_are_cut_at_once(spark):
+    r = np.random.default_rng(9)
+    cells, cuts, want = [], [], set()
+    for i in range(60):
+        rows, cols = r.integers(-6, 3, 70), r.integers(4, 4 + int(r.integers(1, 9)), 70)
+        rows, cols = np.unique(np.stack([rows, cols]), axis=1)
+        if i % 5 == 0:  # a cell that is told twice counts twice
+            rows, cols = np.append(rows, rows[:9]), np.append(cols, cols[:9])
+        cells += [(i, int(a), int(b)) for a, b in zip(rows, cols)]
+        for n in range(int(r.integers(0, 4))):
+            a, b = r.integers(-8, 14, (2, 2)).astype(float).tolist()
+            cuts.append((i, n, {"a": {"x": a[0], "y": a[1]}, "b": {"x": b[0], "y": b[1]}}))
+            keep = _cut_alone(rows, cols, a, b)
+            rows, cols = rows[keep], cols[keep]
+        want |= {(i, int(a), int(b)) for a, b in zip(rows, cols)}
+    cuts.append((3, 9, None))
+    df = spark.createDataFrame(cells, "id bigint, row bigint, col bigint")
+    out = footprint._cut_all(df, spark.createDataFrame(cuts, f"id bigint, n int, t struct<a:{g.POINT},b:{g.POINT}>"), 1.0)
+    assert {tuple(x) for x in out.collect()} == want and len(want) < len(set(cells))
+    assert "FlatMapGroupsInPandas" not in out._jdf.queryExecution().toString()
