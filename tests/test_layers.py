@@ -276,6 +276,45 @@ def test_dissolved_cells_carry_their_group_instead_of_a_join(spark, small):
     assert "MapInArrow" in plan and "Join" not in plan[: plan.index("MapInArrow")]
 
 
+def test_lines_dissolve_square_by_square_to_the_union_of_their_cells(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    data = [(i, P(*rng.integers(-400, 400, (int(rng.integers(1, 4)), 2)).tolist()), float(rng.integers(0, 6)), None if i % 7 == 0 else i % 3) for i in range(60)]
+    data += [(60, P((255, -20), (257, 20)), 0.4, 8), (61, P((3, 3), (3, 3)), 5.0, 9), (None, P((0, 0), (9, 9)), 2.0, 9), (62, P((0, 0), (9, 9)), None, 9), (63, None, 2.0, 9)]
+    rows = spark.createDataFrame(data, f"id bigint, pts {g.LINE}, r double, grp bigint")
+    for cell in (1.0, 2.5):
+        want: dict = {}
+        for x in footprint.buffered_cells(rows, "r", cell, keep=("grp",)).collect():
+            cells = want.setdefault((x.grp, x.row // 256, x.col // 256), {})
+            cells[x.row, x.col] = min(x.id, cells.get((x.row, x.col), x.id))
+        got = footprint.dissolve_lines(rows, "r", "grp", cell).collect()
+        assert len(got) == len(want) and 9 not in {x.grp for x in got}
+        for x in got:
+            cells = want[x.grp, x.row // 256, x.col // 256]
+            assert [(x.row + i // 256, x.col + i % 256) for i in x.cells] == sorted(cells) and x.first == min(cells.values())
+
+
+def test_the_union_of_a_square_goes_on_over_batches_and_parts_of_them(monkeypatch):
+    monkeypatch.setattr(footprint, "_UNITED", 100)
+    n = 50
+    columns = {"grp": ["a"] * 45 + [None] * 5, "row": [0] * n, "col": [0] * 40 + [256] * 10, "id": list(range(100, 100 + n)), "r": [2.0] * n}
+    columns |= {"ax": [240.0] * n, "ay": [float(i % 9) for i in range(n)], "bx": [270.0] * n, "by": [float(i % 5) for i in range(n)]}
+    table = footprint.pa.table(columns)
+    units = [x for b in footprint._united(iter(table.to_batches(max_chunksize=7)), 1.0) for x in b.to_pylist()]
+    assert [(x["grp"], x["col"], x["first"]) for x in units] == [("a", 0, 100), ("a", 256, 140), (None, 256, 145)]
+    for x, (i, j) in zip(units, ((0, 40), (40, 45), (45, 50))):
+        seg = [np.array(columns[c][i:j]) for c in ("ax", "ay", "bx", "by", "r")]
+        _, row, col = footprint.capsule_cells(*seg)
+        assert x["cells"] == sorted({int(a) * 256 + int(b) - x["col"] for a, b in zip(row, col) if 0 <= a < 256 and x["col"] <= b < x["col"] + 256})
+
+
+def test_dissolve_deals_no_cells(spark, small):
+    from ridgeway.registry import registered
+
+    plan = registered()["dissolve"](spark, small)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = next(i for i, x in enumerate(plan) if "RepartitionByExpression" in x)
+    assert "MapInArrow" in plan[dealt + 1] and "cells" not in plan[dealt + 1]
+
+
 def test_no_side_of_a_grid_join_is_broadcast_as_a_whole(spark, small):
     from ridgeway.registry import registered
 
